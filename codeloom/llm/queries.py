@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, leakage, packing, shared_spans, splitting
+from codeloom.llm import bpe, docpairs, leakage, packing, shared_spans, splitting, syntax
 from codeloom.plans.registry import Registry, table
 
 R = Registry()
@@ -84,3 +84,41 @@ def p10_coverage(spark, folder):
 def p10_spans(spark, folder):
     """The maximal shared intervals of each document."""
     return shared_spans.find(table(spark, folder, "documents")).spans()
+
+
+def _judged(spark, folder):
+    return syntax.judge(table(spark, folder, "file_content"))
+
+
+@R.query("p2_found")
+def p2_found(spark, folder):
+    """Files that do not parse in the language of their extension."""
+    return syntax.broken(_judged(spark, folder))
+
+
+@R.query("p2_faults")
+def p2_faults(spark, folder):
+    """Each file that does not parse with the first fault and its line."""
+    return _judged(spark, folder).filter("fault IS NOT NULL").distinct()
+
+
+@R.query("p2_rates")
+def p2_rates(spark, folder):
+    """Rates of files that do not parse per repository and language."""
+    return syntax.rates(_judged(spark, folder), table(spark, folder, "symbols"))
+
+
+def _pairs(spark, folder):
+    return docpairs.pairs(table(spark, folder, "symbols"), table(spark, folder, "file_content"))
+
+
+@R.query("p4_pairs")
+def p4_pairs(spark, folder):
+    """Code and description of every documented function."""
+    return _pairs(spark, folder)
+
+
+@R.query("p4_found")
+def p4_found(spark, folder):
+    """Functions and methods with documentation that says something."""
+    return _pairs(spark, folder).select("repo_id", "id").distinct()
