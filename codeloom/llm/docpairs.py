@@ -55,7 +55,7 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CODE_LINE = re.compile(
     r"""^(?:
-      (?:return|yield|throw|raise|break|continue|goto)\b[\w\s.,()\[\]"'&*+-]*;?
+      (?:return|yield|throw|raise|break|continue|goto)\b(?:[\w\s.,()\[\]"'&*+-]*;?|.*[(=].*[;)])
       | (?:let|const|var|int|char|bool|auto|static|void|double|float|long|unsigned|mut|local|export)\b.*=.*
       | [\w.\[\]>*&$-]+(?:\s*,\s*\w+)*\s*(?::=|[-+*/|&^%]?=(?!=))\s*(?:[\w.]+\s*\(.*|["'\d\[{$(-].*|\w+\s*;|[\w.]+\[.*)
       | \w+="\$.*
@@ -67,6 +67,7 @@ _CODE_LINE = re.compile(
     )$""",
     re.X,
 )
+_DOCSTRING = re.compile(r"[ \t]*(?:async[ \t]+)?def\b[^:\n]*(?:\([^()]*\))?[^:\n]*:[ \t]*\r?\n\s*[rRuU]?(\"\"\"|''')(.*?)\1", re.S)
 _TAG_NAME = re.compile(r"@(?:param|arg|tparam)\s+(?:\{[^}]*\}\s*)?\[?(\w+)|:param\s+(?:\w+\s+)?(\w+):|^\s*[-*]?\s*`?(\w+)`?\s*(?:\([^)]*\))?:\s", re.M)
 
 
@@ -113,13 +114,13 @@ class Source:
         n = len(self.starts)
         tokens, errors = lex(language, text) if language != "bash" else ([], [])
         self.tokens = tokens
-        limit = errors[0][1] if errors else len(text)
+        self.guess = bool(errors)  # a broken text: its tokens cannot be trusted, the look of the lines is
         self.kind = ["blank"] * n
         self.first: dict[int, int] = {}  # line -> its first token
         self.last: dict[int, int] = {}
         self.comment: dict[int, tuple[int, int]] = {}  # line -> span of the comment over it
         for i, (k, a, b) in enumerate(tokens):
-            if k == "l":
+            if k == "l" or self.guess:
                 continue
             lo, hi = self.line(a), self.line(max(a, b - 1))
             for x in range(lo, hi + 1):
@@ -131,10 +132,9 @@ class Source:
                     self.kind[x] = "code"
                     self.first.setdefault(x, i)
                     self.last[x] = i
-        if language == "bash" or errors:  # by the look of each line, where the lexer gave up
-            begin = 0 if language == "bash" else self.line(limit)
+        if language == "bash" or errors:  # by the look of each line
             open_block = False
-            for x in range(begin, n):
+            for x in range(n):
                 s = self.line_text(x).strip()
                 mark = ("#",) if language in ("bash", "python") else ("//", "/*", "#" if errors else "//", "*" if open_block else "//")
                 if not s:
@@ -198,8 +198,13 @@ class Source:
 
     def docstring(self, x: int) -> str | None:
         """The docstring of the Python function declared on line x."""
+        if self.language != "python":
+            return None
+        if self.guess:
+            m = _DOCSTRING.match(self.text, self.starts[x])
+            return m.group(2) if m else None
         i = self.first.get(x)
-        if i is None or self.language != "python":
+        if i is None:
             return None
         depth, n = 0, len(self.tokens)
         while i < n:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, docpairs, leakage, packing, shared_spans, splitting, syntax
+from codeloom.llm import bpe, docpairs, leakage, packing, provenance, shared_spans, splitting, syntax
 from codeloom.plans.registry import Registry, table
 
 R = Registry()
@@ -122,3 +122,19 @@ def p4_pairs(spark, folder):
 def p4_found(spark, folder):
     """Functions and methods with documentation that says something."""
     return _pairs(spark, folder).select("repo_id", "id").distinct()
+
+
+def _provenance(spark, folder):
+    return provenance.classify(table(spark, folder, "files"), table(spark, folder, "file_content"))
+
+
+@R.query("p3_found")
+def p3_found(spark, folder):
+    """Source files that nobody of the repository wrote by hand."""
+    return _provenance(spark, folder).filter("kind IS NOT NULL").select("repo_id", "relative_path")
+
+
+@R.query("p3_kinds")
+def p3_kinds(spark, folder):
+    """What each such file is and what told it."""
+    return _provenance(spark, folder).filter("kind IS NOT NULL")
