@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, docpairs, leakage, packing, provenance, shared_spans, splitting, syntax
+from codeloom.llm import bpe, docpairs, leakage, packing, provenance, secrets, shared_spans, splitting, syntax
 from codeloom.plans.registry import Registry, table
 
 R = Registry()
@@ -138,3 +138,25 @@ def p3_found(spark, folder):
 def p3_kinds(spark, folder):
     """What each such file is and what told it."""
     return _provenance(spark, folder).filter("kind IS NOT NULL")
+
+
+def _secrets(spark, folder):
+    return secrets.locate(table(spark, folder, "file_content"))
+
+
+@R.query("p7_found")
+def p7_found(spark, folder):
+    """File and line of every credential."""
+    return secrets.lines(_secrets(spark, folder))
+
+
+@R.query("p7_kinds")
+def p7_kinds(spark, folder):
+    """Credentials by repository and kind."""
+    return _secrets(spark, folder).groupBy("repo_id", "kind").agg(F.count("*").alias("n_lines"))
+
+
+@R.query("p7_redacted")
+def p7_redacted(spark, folder):
+    """The content of every file with its credentials overwritten."""
+    return secrets.cleaned(table(spark, folder, "file_content"))
