@@ -64,10 +64,10 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 _QUOTED = r"""(?P<q>\"\"\"|'''|["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)"""
 _ASSIGNED = re.compile(
-    r"""(?P<key>[A-Za-z_$][\w$.-]*)["']?\]?[ \t]*(?::[ \t]*[&\w<>\[\]' ]{1,30}[ \t]*(?==))?(?::=|=>|=|:)[ \t]*(?:[bBrRuUfF]|&|\()?[ \t]*(?:\n[ \t]*)?""" + _QUOTED
+    r"""(?P<key>[A-Za-z_$][\w$.-]*)["']?\]?[ \t]*(?::[ \t]*[&\w<>\[\]' ]{1,30}[ \t]*(?==))?(?::=|=>|=|:)[ \t]*(?:[bBrRuUfF]|&|\(|(?:concat!|String::from|String|str|bytes|Buffer\.from|atob|(?:base64\.)?b64decode|(?:binascii\.)?unhexlify|bytes\.fromhex|\[\]byte)\([ \t]*b?)?[ \t]*(?:\r?\n[ \t]*)?""" + _QUOTED
 )
 _DEFINED = re.compile(r"#[ \t]*define[ \t]+(?P<key>\w+)[ \t]+" + _QUOTED)
-_CONTINUED = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+|\.(?!\w)|\.\.)?[ \t]*(?:\\?\r?\n[ \t]*)?" + _QUOTED)
+_CONTINUED = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+|\.(?!\w)|\.\.|,(?=[^\n]*\"\)))?[ \t]*(?:\\?\r?\n[ \t]*)?" + _QUOTED)
 _BARE = re.compile(r"(?m)^[ \t]*(?:export[ \t]+|set[ \t]+)?(?P<key>[A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*(?P<v>[^\s\"'`#;{\[(<$&|][^\s\"'`;,]*)[ \t]*(?:#.*)?\r?$")
 _CALLS = [
     re.compile(r"""(?i)\b(?:login|sign_?in|authenticate|set_?basic_?auth|basic_?auth|http_?basic\w*|auth)\b[ \t]*(?:=[ \t]*)?\([ \t]*["'][^"'\n]*["'][ \t]*,[ \t]*""" + _QUOTED),
@@ -103,6 +103,20 @@ def names_credential(key: str) -> bool:
     return any(p.lower() in _SHORT_NAMES for p in _PARTS.findall(key))
 
 
+def credential(key: str, v: str) -> bool:
+    """Whether the literal ``v`` under the name ``key`` is one."""
+    if names_credential(key):
+        hashed = re.search(r"(?i)hash|sha\d|md5|checksum|digest|fingerprint|etag", key)
+        return usable(v) or not hashed and bool(re.fullmatch(r"[0-9a-fA-F]{32,128}", v)) and not masked(v)
+    # "token" or "key" alone also names other things: only a random value decides
+    if re.search(r"(?i)token|key|auth(?!or)", key):
+        return (
+            bool(re.fullmatch(r"[A-Za-z0-9+/_=-]{20,}", v)) and usable(v) and all(re.search(p, v) for p in (r"\d", r"[a-z]", r"[A-Z]"))
+            and len(re.findall(r"[a-z][A-Z0-9]|[A-Z0-9][a-z]", v)) >= len(v) // 5
+        )
+    return False
+
+
 def masked(v: str) -> bool:
     """Stands in for a credential: empty, masked, a placeholder, or one repeated sign."""
     return len(set(v)) <= 3 or bool(_STAND_IN.search(v))
@@ -229,14 +243,14 @@ def _named(text: str) -> Iterator[Find]:
     """Finds where a name, a call, a header, a command line or a remark gives a credential."""
     for pattern in (_ASSIGNED, _DEFINED):
         for m in pattern.finditer(text):
-            if names_credential(m.group("key")) and usable(m.group("v")):
+            if credential(m.group("key"), m.group("v")):
                 yield m.start("v"), m.end("v"), "named"
                 rest = _CONTINUED.match(text, m.end())
                 while rest and re.fullmatch(r"[\w+/=.~-]{6,}", rest.group("v")):
                     yield rest.start("v"), rest.end("v"), "continued"
                     rest = _CONTINUED.match(text, rest.end())
     for m in _BARE.finditer(text):
-        if names_credential(m.group("key")) and usable(m.group("v")) and not re.search(r"[()\[\]{}]|::|->", m.group("v")):
+        if credential(m.group("key"), m.group("v")) and not re.search(r"[()\[\]{}]|::|->", m.group("v")):
             yield m.start("v"), m.end("v"), "named"
     for pattern in _CALLS:
         for m in pattern.finditer(text):
