@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from codeloom.plans import references
+from codeloom.plans import references, scalars
 from codeloom.plans.registry import Registry
 
-MODULES = [references]
+MODULES = [references, scalars]
 
 
 def collect(modules=None) -> Registry:
