@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -123,7 +124,7 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(text: pd.Series) -> pd.Series:
     """Stemmed words without diacritics, in Arrow batches. Null gives an empty array."""
     return text.map(lambda t: [stem(w) for w in fold(t)] if t else [])

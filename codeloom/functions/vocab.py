@@ -12,9 +12,12 @@ REFERENCE_KINDS = ["calls", "imports", "implements", "extends", "instantiates",
 EDGE_KINDS = ["calls", "imports", "tests", "touched-in-commit", "owns", "decided-by", "supersedes"]
 PROJECTED_EDGES = ["calls", "imports", "tests", "owns"]
 SOURCE_KINDS = {
-    "worktree": ["worktree"], "history": ["history", "git"], "docs": ["docs", "document", "documents"],
-    "session": ["session"], "text": ["text"],
-}
+    "worktree": ["worktree", "working-tree", "tree"],
+    "history": ["history", "git", "commits"],
+    "docs": ["docs", "doc", "document", "documents"],
+    "session": ["session", "note"],
+    "text": ["text", "paste", "pasted", "pasted-text"],
+}
 MEMORY_STATUS = ["fresh", "degraded", "stale", "invalidated"]
 
 
@@ -27,6 +30,8 @@ def parse_source_kinds(spec: str) -> list[str]:
             raise ValueError(f"unknown source kind: {part}")
         if kind not in out:
             out.append(kind)
+    if not out:
+        raise ValueError("at least one source is required")
     return out
 
 

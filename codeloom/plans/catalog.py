@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from codeloom.plans import references, scalars
+from codeloom.plans import lookups, references, scalars
 from codeloom.plans.registry import Registry
 
-MODULES = [references, scalars]
+MODULES = [references, scalars, lookups]
 
 
 def collect(modules=None) -> Registry:
