@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from codeloom.plans import lookups, references, scalars
+from codeloom.plans import knowledge, lookups, references, scalars
 from codeloom.plans.registry import Registry
 
-MODULES = [references, scalars, lookups]
+MODULES = [references, scalars, lookups, knowledge]
 
 
 def collect(modules=None) -> Registry:
