@@ -1 +1 @@
-
+"""Readers: worktrees, Git, claim logs, configuration."""

@@ -1 +1 @@
-
+"""Micro-batch upkeep of the catalog and of orphan references."""
