@@ -34,7 +34,7 @@ from codeloom.functions.lexing import language_of, lex
 from codeloom.session import materialize
 
 PROGRAMMING = {"python", "rust", "javascript", "typescript", "go", "c", "bash"}
-LEAST_CODE = 120
+LEAST_CODE = 100
 #: Files of a folder that marks its copies.
 LEAST_FILES = 2
 

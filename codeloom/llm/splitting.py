@@ -148,12 +148,14 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
                 end = last
                 while end > start + 1 and _glued(text, end):
                     end -= 1
-                if end <= start + 1 and _glued(text, end):
-                    end = max(last, start + 1)
+                if end <= start + 1 and end < n and _glued(text, max(end, 1)):
+                    end = last
+                end = max(end, start + 1)  # one character at least, whatever the room
         head = start
         if start:
-            head = char_at(origin - overlap)
-            head += b(head) < origin - overlap
+            low = max(0, origin - overlap, b(end) - limit)  # a wide character may leave less room for the overlap
+            head = char_at(low)
+            head += b(head) < low
             while head < start and head > 0 and _glued(text, head):
                 head += 1
         out.append((b(head), origin, b(end)))

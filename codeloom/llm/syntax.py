@@ -123,6 +123,10 @@ def _brackets(run: _Run) -> tuple[Fault | None, dict[int, int]]:
         elif k == "d":
             m = re.match(r"[ \t]*#[ \t]*(\w*)", run.word[i])
             name = m.group(1) if m else ""
+            if not name and run.word[i].strip(" \t#\\\r\n"):
+                return ("unknown directive", run.at[i]), partner
+            if name.isdigit():  # a line marker
+                name = ""
             if name in ("if", "ifdef", "ifndef"):
                 saved.append(stack[:])
             elif name in ("else", "elif", "elifdef", "elifndef"):
@@ -470,7 +474,7 @@ def _check_rust(run: _Run, partner: dict[int, int], skip: list[bool]) -> Fault |
     kind, word, fresh, at = run.kind, run.word, run.fresh, run.at
     n = len(kind)
     if n == 0:
-        return None
+        return ("documentation of nothing", run.docs[0]) if run.docs else None
     depth = 0
     begin = True
     for i in range(n):
