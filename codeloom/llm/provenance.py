@@ -224,10 +224,10 @@ def merkle(files: DataFrame) -> DataFrame:
 
 def classify(files: DataFrame, content: DataFrame) -> DataFrame:
     """Every file of a programming language: (repo_id, relative_path, kind, told); kind null is hand-written."""
-    paths = files.select("repo_id", "relative_path").distinct()
-    texts = content.select("repo_id", "relative_path", "content").distinct()
-    named = paths.join(texts, ["repo_id", "relative_path"], "full")
-    seen = materialize(named.select("repo_id", "relative_path", "content").mapInArrow(_run, FEATURES), "provenance")
+    # Texts are read where they lie and never shuffled; a file without a row of content is judged by its path.
+    key = ["repo_id", "relative_path"]
+    bare = files.select(*key).distinct().withColumn("content", F.lit(None).cast("string"))
+    seen = content.select(*key, "content").unionByName(bare).mapInArrow(_run, FEATURES)
     # One row a file: the first kind in order if its rows differ.
     one = seen.groupBy("repo_id", "relative_path").agg(
         F.min(F.when(F.col("kind").isNotNull(), F.struct("kind", "told"))).alias("k"),
