@@ -122,12 +122,14 @@ def anchors(codes: np.ndarray, gram: int = GRAM, span: int = MIN_SPAN) -> tuple[
 def _anchor_rows(gram: int, span: int):
     def run(batches):
         for b in batches:
-            hs, ds, ps = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            hs, ds, ts, ps = [], [], [], []
+            for doc, mark, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h, p = anchors(code_points(text), gram, span)
-                hs.append(h.view(np.int64)), ps.append(p), ds.append(np.full(len(p), doc, np.int64))
-            cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (hs, ds, ps)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "doc_id", "pos"])
+                hs.append(h.view(np.int64)), ps.append(p)
+                ds.append(np.full(len(p), doc, np.int64)), ts.append(np.full(len(p), mark, np.int64))
+            cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (hs, ds, ts, ps)]
+            names = ["anchor", "doc_id", "mark", "pos"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     return run
 
@@ -274,8 +276,9 @@ def find(
 ) -> SharedSpans:
     """Runs the operator on all ``documents`` (doc_id, text)."""
     documents = documents.select("doc_id", "text")
-    long = documents.filter(F.char_length("text") >= span)
-    anchor = long.mapInArrow(_anchor_rows(gram, span), "anchor bigint, doc_id bigint, pos bigint")
+    # The mark of its text keeps the rows of a document apart if they should differ.
+    long = documents.filter(F.char_length("text") >= span).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    anchor = long.mapInArrow(_anchor_rows(gram, span), "anchor bigint, doc_id bigint, mark bigint, pos bigint")
     anchor = materialize(anchor, "anchors")
     many = (
         anchor.groupBy("anchor")
@@ -284,10 +287,10 @@ def find(
         .select("anchor", (F.col("n") > hot).alias("hot"))
     )
     per_doc = (
-        anchor.join(many, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "pos", "hot")).alias("places"))
+        anchor.join(many, "anchor").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("anchor", "pos", "hot")).alias("places"))
     )
-    once = long.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(documents) else long
-    passage = once.join(per_doc, "doc_id").select("doc_id", "text", "places").mapInArrow(_passages(gram, span), PASSAGE)
+    found = long.join(per_doc, ["doc_id", "mark"]).select("doc_id", "text", "places")
+    passage = found.mapInArrow(_passages(gram, span), PASSAGE)
     passage = materialize(passage, "passages")
     chars = passage.agg(F.sum(F.char_length("passage"))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
@@ -304,12 +307,6 @@ def find(
     return SharedSpans(spans, lists.distinct(), documents)
 
 
-def _repeats(documents: DataFrame) -> bool:
-    """doc_id is a key of the table; tables that break this are reduced to one row a document."""
-    n, distinct = documents.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    return n != distinct
-
-
 def _hot(passage: DataFrame, gram: int, span: int) -> tuple[DataFrame, DataFrame]:
     """Spans and document lists of hot anchors, by window hashes. Lists hold at most two chunks each."""
     key = ["h1", "h2"]
