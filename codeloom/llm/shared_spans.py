@@ -297,7 +297,9 @@ def find(
     cold = passage.filter(~F.col("hot")).select(
         F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "doc_id", "start", "passage"
     )
-    found = cold.groupBy("shard").applyInArrow(lambda t: index_shard(t, span), FOUND)
+    # A stated number of partitions, or the few MB of passages would be joined into a few long tasks.
+    spread = max(shards, documents.sparkSession.sparkContext.defaultParallelism)
+    found = cold.repartition(spread, "shard").groupBy("shard").applyInArrow(lambda t: index_shard(t, span), FOUND)
     found = materialize(found, "spans")
     spans = found.filter("kind = 0").select("doc_id", "start", "stop")
     lists = found.filter("kind = 1").select("docs")
