@@ -23,9 +23,9 @@ as they are, nulls too.
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +37,6 @@ def place(histogram: dict[int, int], capacity: int, fullest: bool = False) -> li
     """(count, lengths) of the patterns. ``fullest``: the least room first, else the most."""
     by_room: dict[int, list[list]] = defaultdict(list)  # room -> [count, lengths]
     rooms: list[int] = []  # sorted keys of by_room
-    import bisect
 
     def put(count: int, lengths: tuple[int, ...], room: int) -> None:
         if room not in by_room or not by_room[room]:
@@ -93,20 +92,32 @@ def pack_histogram(histogram: dict[int, int], capacity: int, policy: str = "fewe
     return min(options, key=lambda p: sum(c for c, _ in p))
 
 
-def _slots(key: tuple, pdf: pd.DataFrame, policy: str = "fewest") -> pd.DataFrame:
-    """(task, length) -> the runs of slots: from rank ``lo``, ``per`` slots in each container from ``first``."""
-    row = pdf.iloc[0]
-    histogram = {int(h["tokens"]): int(h["n"]) for h in row["histogram"]}
+def slots(histogram: dict[int, int], capacity: int, policy: str = "fewest") -> dict[int, list[dict]]:
+    """Length -> its runs of slots: from rank ``lo`` on, ``per`` slots in each container from ``first`` on."""
     runs, used, base = defaultdict(list), defaultdict(int), 0
-    for count, lengths in pack_histogram(histogram, int(row["limit_tokens"]), policy):
+    for count, lengths in pack_histogram(histogram, capacity, policy):
         for length in sorted(set(lengths)):
             per = lengths.count(length)
             runs[length].append({"lo": used[length], "first": base, "per": per})
             used[length] += per * count
         base += count
-    return pd.DataFrame(
-        [(row["task_id"], length, r) for length, r in runs.items()], columns=["task_id", "tokens", "runs"]
-    )
+    return runs
+
+
+def _slot_batches(policy: str):
+    run = pa.struct([("lo", pa.int64()), ("first", pa.int64()), ("per", pa.int64())])
+
+    def go(batches):
+        for b in batches:
+            at, tokens, found = [], [], []
+            for i, (limit, histogram) in enumerate(zip(b.column("limit_tokens").to_pylist(), b.column("histogram").to_pylist(), strict=True)):
+                for length, runs in slots({h["tokens"]: h["n"] for h in histogram}, limit, policy).items():
+                    at.append(i), tokens.append(length), found.append(runs)
+            task = b.column("task_id").take(pa.array(at, pa.int64()))
+            arrays = [task, pa.array(tokens, pa.int64()), pa.array(found, pa.list_(run))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["task_id", "tokens", "runs"])
+
+    return go
 
 
 def _pieces(batches):
@@ -153,9 +164,10 @@ def pack(items: DataFrame, budgets: DataFrame, policy: str = "fewest") -> DataFr
         F.collect_list(F.struct("tokens", "n")).alias("histogram")
     )
     kind = items.schema["task_id"].dataType.simpleString()
-    runs = per_task.groupBy("task_id").applyInPandas(
-        lambda key, pdf: _slots(key, pdf, policy),
-        f"task_id {kind}, tokens bigint, runs array<struct<lo:bigint,first:bigint,per:bigint>>",
+    # One row a task; a stated number of partitions, or so few MB would be one long task.
+    spread = items.sparkSession.sparkContext.defaultParallelism
+    runs = per_task.repartition(spread, "task_id").mapInArrow(
+        _slot_batches(policy), f"task_id {kind}, tokens bigint, runs array<struct<lo:bigint,first:bigint,per:bigint>>"
     )
     shift = Window.partitionBy("task_id", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
