@@ -49,6 +49,9 @@ _FORMATS = re.compile(
     | (?P<jwt>(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})
     """
 )
+_HEADS = (
+    "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "AIza", "SG.", "npm_", "pypi-", "eyJ",
+)
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 _URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,20}://([^\s:/@\"'`<>]*):([^\s/@\"'`<>]+)@[^\s\"'`<>]")
 _SCHEME = re.compile(r"(?i)\b(basic|bearer)[ \t]+([A-Za-z0-9+/_=.~-]{8,})")
@@ -59,6 +62,7 @@ _NAMES = re.compile(
     r"|privatekey|encryptionkey|masterkey|webhooksecret|sharedsecret|dbpass|password|passwd|passphrase|passcode|kennwort|passwort|motdepasse"
     r"|contrasena|senha|secret|credential"
 )
+_NAME_HINT = re.compile(r"(?i)key|token|secret|pass|pwd|pw|auth|cred|kennwort|senha|contrase|jwt|psk")
 _SHORT_NAMES = {"pw", "pwd", "pass", "jwt", "creds", "psk"}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -82,6 +86,7 @@ _INLINE = [
     re.compile(r"""(?i)\b(?:IDENTIFIED[ \t]+BY|PGPASSWORD=|MYSQL_PWD=|sshpass[ \t]+-p)[ \t]*["']?(?P<v>[^\s"'`;]{6,})"""),
 ]
 _LITERAL = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_ESCAPE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\u\{?[0-9A-Fa-f]{2}|\\[0-3][0-7]{2}")
 _CODED = re.compile(r"[^\s\"'`<>]*(?:%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u\{?[0-9A-Fa-f]{2,6}\}?|\\[0-3][0-7]{2})[^\s\"'`<>]*")
 
 # What stands for a credential without being one.
@@ -213,7 +218,7 @@ def _layers(literal: str) -> Iterator[tuple[str | None, bytes | None]]:
 
 def _strong(text: str, deep: bool) -> Iterator[Find]:
     """Finds that need no name: formats, key blocks, addresses, header values."""
-    for m in _FORMATS.finditer(text):
+    for m in _FORMATS.finditer(text) if any(h in text for h in _HEADS) else ():
         v = m.group()
         body = re.sub(r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox\w-)", "", v)
         if not masked(body) and not re.search(r"(?i)example|sample|(.)\1{6}", v) and (m.lastgroup == "aws" or re.search(r"\d", body)):
@@ -239,10 +244,26 @@ def _strong(text: str, deep: bool) -> Iterator[Find]:
             yield m.start(2), m.end(2), "bearer"
 
 
+def _at_names(text: str) -> Iterator[re.Match]:
+    """Assignments whose name may be a credential's: the pattern is tried only where such a word stands."""
+    done = -1
+    for h in _NAME_HINT.finditer(text):
+        i = h.start()
+        if i < done:
+            continue
+        while i > 0 and (text[i - 1].isalnum() or text[i - 1] in "_$.-"):
+            i -= 1
+        while i < h.start() and not (text[i].isalpha() or text[i] in "_$"):
+            i += 1
+        if m := _ASSIGNED.match(text, i):
+            done = m.end("key")
+            yield m
+
+
 def _named(text: str) -> Iterator[Find]:
     """Finds where a name, a call, a header, a command line or a remark gives a credential."""
     for pattern in (_ASSIGNED, _DEFINED):
-        for m in pattern.finditer(text):
+        for m in _at_names(text) if pattern is _ASSIGNED else pattern.finditer(text):
             if credential(m.group("key"), m.group("v")):
                 yield m.start("v"), m.end("v"), "named"
                 rest = _CONTINUED.match(text, m.end())
@@ -266,7 +287,8 @@ def _hidden(text: str, depth: int) -> Iterator[Find]:
     """Finds inside encoded literals, charged to the outermost literal."""
     if depth <= 0:
         return
-    for pattern in (_LITERAL, _CODED):
+    coded = "%" in text or "\\" in text and _ESCAPE.search(text)
+    for pattern in (_LITERAL, _CODED) if coded else (_LITERAL,):
         for m in pattern.finditer(text):
             literal = m.group()
             for inner, data in _layers(literal):
@@ -280,9 +302,11 @@ def _any(text: str, depth: int) -> bool:
     return any(True for _ in _strong(text, True)) or any(True for _ in _named(text)) or any(True for _ in _hidden(text, depth))
 
 
-_HINT = re.compile(
-    r"(?i)key|token|secret|pass|pwd|\bpw|auth|cred|kennwort|senha|contrase|jwt|psk|login|://|eyJ|AKIA|ASIA|gh[pousr]_|github_pat|glpat|xox|sk_live|rk_live|AIza|npm_|pypi-|SG\.|BEGIN|basic|bearer|curl|IDENTIFIED"
-)
+_HINTS = (
+    "key", "token", "secret", "pass", "pwd", "pw", "auth", "cred", "kennwort", "senha", "contrase", "jwt", "psk", "login", "://", "eyj",
+    "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "glpat", "xox", "k_live", "aiza", "npm_", "pypi-", "sg.", "begin", "basic",
+    "bearer", "curl", "identified",
+)
 
 
 def finds(text: str) -> list[Find]:
@@ -290,7 +314,8 @@ def finds(text: str) -> list[Find]:
     if not text:
         return []
     found: list[Find] = []
-    if _HINT.search(text):
+    low = text.lower()
+    if any(h in low for h in _HINTS):
         found += _strong(text, False)
         found += _named(text)
     found += _hidden(text, DEPTH)
