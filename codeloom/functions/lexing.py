@@ -136,6 +136,19 @@ def lex(language: str, text: str) -> tuple[list[Token], list[tuple[str, int]]]:
     errors: list[tuple[str, int]] = []
     scan, pos, n = _SCAN[language].match, 0, len(text)
     is_c = language == "c"
+    if not is_c and language != "rust":  # no state but the pattern's own: one sweep
+        for m in _SCAN[language].finditer(text):
+            kind = m.lastgroup
+            if kind == "z":
+                continue
+            pos, end = m.span()
+            if kind[0] == "e":
+                errors.append((_MESSAGES[kind], pos))
+                if kind == "e1" or len(errors) > 20:
+                    return tokens, errors
+                kind = "e"
+            tokens.append((kind, pos, end))
+        return tokens, errors
     fresh = True  # nothing but white space since the line began
     add = tokens.append
     while pos < n:
