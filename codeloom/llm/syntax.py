@@ -86,17 +86,23 @@ class _Run:
         self.at: list[int] = []
         self.fresh: list[bool] = []  # a line end came before
         self.docs: list[int] = []  # documentation comments of Rust
-        end = 0
+        find = text.find
+        lone = text.count("\r") > text.count("\r\n")  # line ends of a carriage return alone
+        end, nl = 0, find("\n")
+        kind, word, at, fresh = self.kind.append, self.word.append, self.at.append, self.fresh.append
+        first = True
         for k, a, b in tokens:
-            if k in "cl":
+            if k == "c" or k == "l":
                 if language == "rust" and k == "c" and _RUST_DOC.match(text, a, b):
                     self.docs.append(a)
                 continue
-            self.kind.append(k)
-            self.word.append(text[a:b] if k not in "srd" or b - a < 40 else text[a : a + 40])
-            self.at.append(a)
-            self.fresh.append(not self.at[:-1] or "\n" in text[end:a] or "\r" in text[end:a])
-            end = b
+            kind(k)
+            word(text[a:b] if k not in "srd" or b - a < 40 else text[a : a + 40])
+            at(a)
+            fresh(first or 0 <= nl < a or lone and "\r" in text[end:a])
+            first, end = False, b
+            if 0 <= nl < b:
+                nl = find("\n", b)
 
 
 def _brackets(run: _Run) -> tuple[Fault | None, dict[int, int]]:
