@@ -50,14 +50,17 @@ def call_targets(references: DataFrame, symbols: DataFrame) -> DataFrame:
     """(ref_id, repo_id, target_id, name): all symbols of the name in the same file, else all of the repository,
     else a name alone (target_id null).
 
-    Targets of one name are joined as one array, so a name shared by many symbols fans out only at the end.
+    Names are joined as rows, never gathered: a name that many symbols share is a skewed join that the
+    engine can split.
     """
     r = references.filter(F.col("kind").isin("calls", "tests")).select("ref_id", "repo_id", "source_file", "target_name").distinct()
-    s = symbols.select("repo_id", "id", "name", "file_path").distinct()
-    local = s.groupBy("repo_id", F.col("file_path").alias("source_file"), F.col("name").alias("target_name")).agg(F.collect_set("id").alias("here"))
-    wide = s.groupBy("repo_id", F.col("name").alias("target_name")).agg(F.collect_set("id").alias("there"))
-    both = r.join(local, ["repo_id", "source_file", "target_name"], "left").join(wide, ["repo_id", "target_name"], "left")
-    return both.select("ref_id", "repo_id", "target_name", F.explode_outer(F.coalesce("here", "there")).alias("target_id"))
+    s = symbols.select("repo_id", F.col("id").alias("target_id"), F.col("name").alias("target_name"), F.col("file_path").alias("source_file")).distinct()
+    key = ["repo_id", "source_file", "target_name"]
+    cols = ["ref_id", "repo_id", "target_name", "target_id"]
+    here = r.join(s, key).select(cols)
+    rest = r.join(s.select(*key).distinct(), key, "left_anti").drop("source_file")
+    there = rest.join(s.drop("source_file").distinct(), ["repo_id", "target_name"], "left").select(cols)
+    return here.unionByName(there).distinct()
 
 
 def import_targets(references: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.symbols import term_lists
+
 SYMBOL_BASELINE, FILE_BASELINE = "symbols-v1:", "file-v1:"
 DEGRADED = 0.70
 
@@ -106,9 +108,9 @@ def relevant(memories: DataFrame, evidence: DataFrame, terms: DataFrame, scored:
     """(task_id, memory_id) of claims that hold a task's term, cite a scored file or name a term as a symbol.
 
     ``memories``: (memory_id, repo_id, claim); ``terms``: (task_id, repo_id, term); ``scored``: (task_id,
-    repo_id, file). The terms of a repository's tasks are one array, so claims meet only those.
+    repo_id, file). The terms of a repository's tasks are short lists, so claims meet only those.
     """
-    per = terms.groupBy("repo_id").agg(F.collect_set(F.struct("task_id", "term")).alias("terms"))
+    per = term_lists(terms.select("task_id", "repo_id", "term").distinct(), F.struct("task_id", "term")).select("repo_id", "terms")
     said = memories.join(per, "repo_id").select("memory_id", F.explode(F.filter("terms", lambda t: F.lower("claim").contains(t["term"]))).alias("t"))
     by_claim = said.select("t.task_id", "memory_id")
     by_file = evidence.join(scored, ["repo_id", "file"]).select("task_id", "memory_id")

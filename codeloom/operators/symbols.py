@@ -6,7 +6,7 @@ term, so a batch of tasks is one join and not one scan a task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import ascii_lower
@@ -43,15 +43,20 @@ def exact(symbols: DataFrame, terms: DataFrame) -> DataFrame:
     return by_tail.select(cols).unionByName(by_name.select(cols)).unionByName(by_deep.select(cols)).distinct()
 
 
+def term_lists(terms: DataFrame, value: Column, size: int = 500) -> DataFrame:
+    """(repo_id, part, terms): a repository's values as lists of about ``size``, so no list grows with the tasks."""
+    n = terms.groupBy("repo_id").agg(F.ceil(F.count("*") / size).alias("parts"))
+    part = F.pmod(F.xxhash64(value), F.col("parts"))
+    return terms.join(n, "repo_id").groupBy("repo_id", part.alias("part")).agg(F.collect_set(value).alias("terms"))
+
+
 def partial(symbols: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
     """The first ``limit`` symbols per term, by file and line, whose name or qualified name holds the term.
 
-    ASCII case is ignored. Names and qualified names are matched once per distinct pair, not per
-    row; per repository its terms are one array, so no pair of a symbol and another
+    ASCII case is ignored. A repository's terms are short lists, so no pair of a symbol and another
     repository's term is formed. Empty terms find nothing.
     """
-    t = terms.filter("term <> ''").select("repo_id", "term").distinct()
-    per_repo = t.groupBy("repo_id").agg(F.collect_set("term").alias("terms"))
+    per_repo = term_lists(terms.filter("term <> ''").select("repo_id", "term").distinct(), F.col("term")).select("repo_id", "terms")
     hay = F.array(ascii_lower(F.col("name")), ascii_lower(F.col("qualified_name")))
     hit = F.filter("terms", lambda x: F.exists(hay, lambda h: h.contains(ascii_lower(x))))
     found = symbols.join(per_repo, "repo_id").select(*symbols.columns, F.explode(hit).alias("term"))
