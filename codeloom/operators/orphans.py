@@ -17,8 +17,8 @@ counts per table, side and month is written.
 
 Judging is a sweep. A parent row is +1 at ``indexed_at`` and -1 at
 ``deleted_at``; a reference is an orphan if the running sum at its time is 0. The
-sum is taken in two levels, per (key, day) and within a day, so that a key which
-holds a third of all rows is spread over its days and no list of a key's rows is
+sum is taken in two levels, per (key, hour) and within an hour, so that a key which
+holds a third of all rows is spread over its hours and no list of a key's rows is
 ever built. Repeated parent rows add +1 and -1 alike and change no sign.
 
 Nulls: rows whose id, repo_id or time is null cannot be matched. A reference
@@ -73,7 +73,7 @@ def parent_events(symbols: DataFrame) -> DataFrame:
 
 def judge(sides: DataFrame, parents: DataFrame) -> DataFrame:
     """Adds ``orphan`` to the reference sides by the two-level sweep."""
-    day = F.coalesce(F.unix_date(F.to_date("ts")), F.lit(-(2**30)))
+    hour = F.coalesce(F.floor(F.unix_seconds("ts") / 3600), F.lit(-(2**40)))
     ref = sides.select(
         *KEY, "ts", F.lit(0).cast("bigint").alias("delta"), F.lit(1).alias("ord"), "ref_id", "side"
     )
@@ -81,21 +81,21 @@ def judge(sides: DataFrame, parents: DataFrame) -> DataFrame:
         *KEY, "ts", "delta", F.lit(0).alias("ord"),
         F.lit(None).cast("bigint").alias("ref_id"), F.lit(None).cast("string").alias("side"),
     )
-    events = par.unionByName(ref).withColumn("day", day)
-    net = events.groupBy(*KEY, "day").agg(F.sum("delta").alias("net"))
-    before = Window.partitionBy(*KEY).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    events = par.unionByName(ref).withColumn("hour", hour)
+    net = events.groupBy(*KEY, "hour").agg(F.sum("delta").alias("net"))
+    before = Window.partitionBy(*KEY).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     carry = net.select(
-        F.col("repo_id").alias("c_repo"), F.col("id").alias("c_id"), F.col("day").alias("c_day"),
+        F.col("repo_id").alias("c_repo"), F.col("id").alias("c_id"), F.col("hour").alias("c_hour"),
         F.coalesce(F.sum("net").over(before), F.lit(0)).alias("carry"),
     )
-    within = Window.partitionBy(*KEY, "day").orderBy("ts", "ord").rangeBetween(
+    within = Window.partitionBy(*KEY, "hour").orderBy("ts", "ord").rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     swept = events.withColumn("inner", F.sum("delta").over(within)).filter("ord = 1")
     hit = (
         F.col("repo_id").eqNullSafe(F.col("c_repo"))
         & (F.col("id") == F.col("c_id"))
-        & (F.col("day") == F.col("c_day"))
+        & (F.col("hour") == F.col("c_hour"))
     )
     return swept.join(carry, hit, "left").select(
         "ref_id", "side", *KEY, "ts", ((F.col("inner") + F.coalesce("carry", F.lit(0))) <= 0).alias("orphan")
