@@ -66,10 +66,15 @@ def file_signals(matches: DataFrame, deps: DataFrame, tests: DataFrame, dirty: D
         boost = F.lit(SEARCH_TOP) - F.least(F.col("idx") * SEARCH_STEP, F.lit(SEARCH_LEAST))
         out = out.unionByName(hits.select("task_id", "file", boost.alias("score"), F.concat(F.lit("BM25 search match (rank #"), (F.col("idx") + 1).cast("string"), F.lit(")")).alias("reason")))
     if memories is not None:
-        out = out.unionByName(memories.select("task_id", "file", F.lit(MEMORY).alias("score"), F.concat(F.lit("supported by memory '"), "memory_id", q).alias("reason")))
+        out = out.unionByName(memory_signal(memories))
     return out
 
 
+def memory_signal(memories: DataFrame) -> DataFrame:
+    """Every file that a fresh claim cites: ``memories`` is (task_id, file, memory_id)."""
+    return memories.select("task_id", "file", F.lit(MEMORY).alias("score"), F.concat(F.lit("supported by memory '"), "memory_id", F.lit("'")).alias("reason"))
+
+
 def dirty_signal(tasks: DataFrame, dirty: DataFrame) -> DataFrame:
     """Every uncommitted file of a task's repository."""
     d = dirty.select("repo_id", F.col("relative_path").alias("file")).distinct()
@@ -124,7 +129,7 @@ class Budget:
         return max(0, self.limit - self.used)
 
 
-#: Parts of a package in the order in which they are given up, each from its end.
+#: Parts of a package in the order in which they are given up, each from its end; the dirty files go all at once.
 REMOVAL = ["snippets", "symbols", "files", "commits", "verified", "diagnostic", "dependencies", "tests", "dirty"]
 
 
@@ -148,6 +153,9 @@ def _without(package: dict, n: int) -> dict:
                 if n and f["snippet"] is not None:
                     f["snippet"] = None
                     n -= 1
+        elif part == "dirty":
+            if n:
+                p[part] = []
         else:
             while n and p[part]:
                 p[part].pop()
@@ -160,7 +168,7 @@ def enforce(package: dict, limit: int) -> dict:
     """The package with the fewest removals that fits; an error if even the bare one does not."""
     if _size(package) <= limit:
         return package
-    items = sum(f["snippet"] is not None for f in package["files"]) + sum(len(package[p]) for p in REMOVAL[1:])
+    items = sum(f["snippet"] is not None for f in package["files"]) + sum(len(package[p]) for p in REMOVAL[1:-1]) + bool(package["dirty"])
     bare = _size(_without(package, items))
     if bare > limit:
         raise ValueError(f"the package needs at least {bare} tokens; the budget is {limit}")
@@ -176,11 +184,19 @@ def enforce(package: dict, limit: int) -> dict:
     return out
 
 
-def compile_package(task: str, limit: int, files: list[dict], symbols: list[dict], deps: list[dict], tests: list[dict], contents: dict[str, str]) -> dict:
-    """One task's package from its ranked parts; whole short files while they fit, else excerpts."""
+def compile_package(
+    task: str, limit: int, files: list[dict], symbols: list[dict], deps: list[dict], tests: list[dict], contents: dict[str, str],
+    commits: list[dict] = (), verified: list[dict] = (), diagnostic: list[dict] = (), dirty: list[str] = (), claim_bytes: int | None = None,
+) -> dict:
+    """One task's package from its ranked parts; whole short files while they fit, else excerpts.
+
+    ``claim_bytes`` is the length of all verified claims, where ``verified`` has only those that may fit.
+    """
     budget = Budget(limit)
+    if claim_bytes is None:
+        claim_bytes = sum(len(v["claim"].encode()) for v in verified)
     meta = "# " + task + "".join(d["caller"] + d["callee"] for d in deps) + "".join(t["test_file"] for t in tests)
-    base = text.tokens_of(meta)
+    base = -(-(len(meta.encode()) + claim_bytes) // 4)
     budget.consume(min(base, limit // 3))
     chosen, candidate = [], base
     for f in files[:FILES]:
@@ -199,7 +215,7 @@ def compile_package(task: str, limit: int, files: list[dict], symbols: list[dict
         chosen.append({"path": f["path"], "score": f["score"], "reasons": f["reasons"], "snippet": piece})
     package = {
         "task": text.redact_text(task), "files": chosen, "symbols": symbols[:SYMBOLS], "dependencies": deps[:DEPENDENCIES],
-        "tests": tests[:TESTS], "commits": [], "verified": [], "diagnostic": [], "dirty": [],
+        "tests": tests[:TESTS], "commits": list(commits), "verified": list(verified), "diagnostic": list(diagnostic), "dirty": list(dirty),
         "budget": {"candidate_tokens": candidate, "returned_tokens": budget.used, "limit": limit, "candidate_files": len(files), "returned_files": len(chosen)},
     }
     return enforce(package, limit)
@@ -208,7 +224,10 @@ def compile_package(task: str, limit: int, files: list[dict], symbols: list[dict
 def to_markdown(package: dict) -> str:
     """The package for reading."""
     out = [f"# {package['task']}", "", f"Tokens: {package['budget']['returned_tokens']} of {package['budget']['limit']}", ""]
-    for title, part in (("Symbols", "symbols"), ("Dependencies", "dependencies"), ("Tests", "tests")):
+    for title, part in (
+        ("Dirty files", "dirty"), ("Verified claims", "verified"), ("Diagnostic claims, not verified", "diagnostic"),
+        ("Symbols", "symbols"), ("Dependencies", "dependencies"), ("Tests", "tests"), ("Recent commits", "commits"),
+    ):
         if package[part]:
             out += [f"## {title}", *(f"- {json.dumps(x, ensure_ascii=False, sort_keys=True)}" for x in package[part]), ""]
     for f in package["files"]:
@@ -219,10 +238,21 @@ def to_markdown(package: dict) -> str:
     return "\n".join(out)
 
 
-def packages(tasks: DataFrame, scores: DataFrame, symbols: DataFrame, deps: DataFrame, tests: DataFrame, contents: DataFrame) -> DataFrame:
+def _fitting(rows: DataFrame, order: list[str], size: str) -> DataFrame:
+    """A task's rows up to the first that ends beyond its budget: no later one can stay in the package."""
+    before = Window.partitionBy("task_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_b", F.coalesce(F.sum(size).over(before), F.lit(0))).filter(F.col("_b") <= 4 * F.col("limit_tokens"))
+
+
+def packages(
+    tasks: DataFrame, scores: DataFrame, symbols: DataFrame, deps: DataFrame, tests: DataFrame, contents: DataFrame,
+    commits: DataFrame, claims: DataFrame, dirty: DataFrame,
+) -> DataFrame:
     """(task_id, package, tokens, error): the JSON package of every task.
 
     Only the contents of ranked files are joined; each task's lists are bounded before they are gathered.
+    ``commits``: (repo_id, n, commit_id, summary, timestamp), few a repository; ``claims``: (task_id, at, memory_id,
+    claim, status, confidence, files); ``dirty``: (repo_id, relative_path).
     """
     top = scores.filter(F.col("rank") <= FILES)
     text_of = contents.groupBy("repo_id", F.col("relative_path").alias("file")).agg(F.min("content").alias("content"))
@@ -235,7 +265,21 @@ def packages(tasks: DataFrame, scores: DataFrame, symbols: DataFrame, deps: Data
     v = Window.partitionBy("task_id").orderBy("test_file", "test_name", "target_symbol")
     t = tests.withColumn("_n", F.row_number().over(v)).filter(F.col("_n") <= TESTS)
     t = t.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("_n", "test_file", "test_name", "target_symbol"))).alias("tests"))
-    rows = tasks.select("task_id", "task_text", "limit_tokens").join(f, "task_id", "left").join(s, "task_id", "left").join(d, "task_id", "left").join(t, "task_id", "left")
+    c = commits.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("n", "commit_id", "summary", "timestamp"))).alias("commits"))
+    limits = tasks.select("task_id", "limit_tokens")
+    fresh = (F.col("status") == "fresh") & (F.col("confidence") > 0)
+    m = claims.join(limits, "task_id").withColumn("_size", F.octet_length("claim")).filter(F.ceil(F.col("_size") / 4) <= F.col("limit_tokens"))
+    m = m.withColumn("_fresh", F.coalesce(fresh, F.lit(False)))
+    entry = F.sort_array(F.collect_list(F.struct("at", F.col("memory_id").alias("id"), "claim", "status", "confidence", "files")))
+    total = m.filter("_fresh").groupBy("task_id").agg(F.sum("_size").alias("claim_bytes"))
+    v = _fitting(m.filter("_fresh"), ["at", "memory_id"], "_size").groupBy("task_id").agg(entry.alias("verified"))
+    g = _fitting(m.filter("NOT _fresh"), ["at", "memory_id"], "_size").groupBy("task_id").agg(entry.alias("diagnostic"))
+    w = dirty.select("repo_id", F.col("relative_path").alias("file")).distinct().withColumn("_size", F.octet_length("file"))
+    w = _fitting(tasks.select("task_id", "repo_id", "limit_tokens").join(w, "repo_id"), ["file"], "_size")
+    w = w.groupBy("task_id").agg(F.sort_array(F.collect_list("file")).alias("dirty"))
+    rows = tasks.select("task_id", "repo_id", "task_text", "limit_tokens").join(c, "repo_id", "left")
+    for part in (f, s, d, t, total, v, g, w):
+        rows = rows.join(part, "task_id", "left")
     return rows.mapInPandas(_compile_rows, "task_id bigint, package string, tokens bigint, error string")
 
 
@@ -243,6 +287,10 @@ def _plain(items, skip=()) -> list[dict]:
     return [{k: v for k, v in r.asDict().items() if k not in skip} if hasattr(r, "asDict") else {k: v for k, v in dict(r).items() if k not in skip} for r in (items if items is not None else [])]
 
 
+def _claims(items) -> list[dict]:
+    return [{**c, "files": list(c["files"])} for c in _plain(items, ("at",))]
+
+
 def _compile_rows(batches):
     for b in batches:
         out = []
@@ -254,7 +302,8 @@ def _compile_rows(batches):
             ranked = [{"path": f["path"], "score": f["score"], "reasons": f["reasons"]} for f in files]
             try:
                 p = compile_package(
-                    r.task_text or "", int(r.limit_tokens or 0), ranked, _plain(r.symbols, ("rank",)), _plain(r.deps, ("_n",)), _plain(r.tests, ("_n",)), contents
+                    r.task_text or "", int(r.limit_tokens or 0), ranked, _plain(r.symbols, ("rank",)), _plain(r.deps, ("_n",)), _plain(r.tests, ("_n",)), contents,
+                    _plain(r.commits, ("n",)), _claims(r.verified), _claims(r.diagnostic), [] if r.dirty is None else list(r.dirty), 0 if pd.isna(r.claim_bytes) else int(r.claim_bytes),
                 )
                 out.append((r.task_id, json.dumps(p, ensure_ascii=False, sort_keys=True), p["budget"]["returned_tokens"], None))
             except ValueError as e:

@@ -117,3 +117,15 @@ def relevant(memories: DataFrame, evidence: DataFrame, terms: DataFrame, scored:
     names = evidence.select("memory_id", "repo_id", F.explode("symbols").alias("s")).withColumn("term", F.lower("s"))
     by_symbol = names.join(terms, ["repo_id", "term"]).select("task_id", "memory_id")
     return by_claim.unionByName(by_file).unionByName(by_symbol).distinct()
+
+
+def followed(matched: DataFrame, evidence: DataFrame, fresh: DataFrame, order: DataFrame) -> DataFrame:
+    """``matched`` (task_id, memory_id) and the later claims that cite a file which a fresh matched claim before them has scored.
+
+    ``evidence`` has one file a claim, so one step follows every chain; ``fresh``: (memory_id); ``order``: (memory_id, at).
+    """
+    cited = evidence.select("memory_id", "repo_id", "file").join(order, "memory_id")
+    scored = matched.join(fresh.select("memory_id"), "memory_id", "left_semi").join(cited, "memory_id")
+    scored = scored.groupBy("task_id", "repo_id", "file").agg(F.min("at").alias("since"))
+    later = cited.join(scored, ["repo_id", "file"]).filter("at > since").select("task_id", "memory_id")
+    return matched.select("task_id", "memory_id").unionByName(later).distinct()

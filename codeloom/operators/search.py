@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions import fts
+from codeloom.operators.symbols import term_lists
+from codeloom.session import materialize
 
 # Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -63,6 +65,64 @@ def bm25(corpus: DataFrame, query: str, k: int = 10, stemmed: bool = False) -> D
     return hits.filter(everywhere).select("path", score.alias("rank")).orderBy("rank", "path").limit(k)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _phrases(query: pd.Series) -> pd.Series:
+    """The stemmed phrases of a query, each joined by blanks; repeated ones stay."""
+    return query.map(lambda q: [" ".join(fts.stem(w) for w in fts.fold(" ".join(p))) for p in fts.phrases_of(q)] if q else [])
+
+
+def _count_rows(batches):
+    """(repo_id, path, len, phrase, f) of the phrases that a text holds, and a row without a phrase for its length."""
+    for b in batches:
+        out = []
+        for repo, path, content, terms in zip(b["repo_id"], b["path"], b["content"], b["terms"], strict=True):
+            columns = [[fts.stem(w) for w in fts.fold(t)] if t else [] for t in (path, content)]
+            size = sum(map(len, columns))
+            out.append((repo, path, size, None, 0))
+            at: dict[str, list[tuple[int, int]]] = {}
+            for c, tokens in enumerate(columns):
+                for i, w in enumerate(tokens):
+                    at.setdefault(w, []).append((c, i))
+            for phrase in terms:
+                words = phrase.split(" ")
+                starts = at.get(words[0], [])
+                f = len(starts) if len(words) == 1 else sum(columns[c][i : i + len(words)] == words for c, i in starts)
+                if f:
+                    out.append((repo, path, size, phrase, f))
+        yield pd.DataFrame(out, columns=["repo_id", "path", "len", "phrase", "f"])
+
+
+def bm25_tasks(corpus: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
+    """(task_id, path, rank, idx): the ``k`` best texts of each task's own repository by stems, ``idx`` from 0.
+
+    ``corpus``: (repo_id, path, content), one row a text; ``queries``: (task_id, repo_id, query). All words of
+    the query must occur, as in ``bm25``; ties go by path. Texts meet the phrases of their repository once, and a task
+    meets only the texts that hold its rarest phrase.
+    """
+    q = queries.select("task_id", "repo_id", F.explode(_phrases("query")).alias("phrase")).filter("phrase <> ''")
+    q = q.groupBy("task_id", "repo_id", "phrase").agg(F.count("*").alias("times"))
+    lists = term_lists(q.select("repo_id", "phrase").distinct(), F.col("phrase")).select("repo_id", "terms")
+    counts = corpus.select("repo_id", "path", "content").join(lists, "repo_id")
+    counts = materialize(counts.mapInPandas(_count_rows, "repo_id string, path string, len bigint, phrase string, f bigint"), "phrase-counts")
+    sizes = counts.filter("phrase IS NULL").select("repo_id", "path", "len").distinct()
+    stats = sizes.groupBy("repo_id").agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    hits = counts.filter("phrase IS NOT NULL")
+    d = hits.groupBy("repo_id", "phrase").agg(F.count("*").alias("d"))
+    rarest = Window.partitionBy("task_id").orderBy(F.coalesce("d", F.lit(0)), "phrase")
+    each = Window.partitionBy("task_id")
+    q = q.join(d, ["repo_id", "phrase"], "left").withColumn("_n", F.row_number().over(rarest)).withColumn("words", F.count("*").over(each))
+    q = q.withColumn("least", F.min(F.coalesce("d", F.lit(0))).over(each)).filter("least > 0")
+    q = materialize(q.join(stats, "repo_id"), "phrases")
+    start = q.filter("_n = 1").select("task_id", "repo_id", "phrase").join(hits.select("repo_id", "phrase", "path"), ["repo_id", "phrase"])
+    both = q.join(start.select("task_id", "path"), "task_id").join(hits, ["repo_id", "path", "phrase"])
+    idf = F.greatest(F.log((F.col("n") - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(LEAST_IDF))
+    part = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg"))) * F.col("times")
+    scored = both.groupBy("task_id", "path").agg(F.sum(part).alias("rank"), F.count("*").alias("held"), F.max("words").alias("words"))
+    order = Window.partitionBy("task_id").orderBy("rank", "path")
+    top = scored.filter("held = words").withColumn("idx", F.row_number().over(order) - 1)
+    return top.filter(F.col("idx") < k).select("task_id", "path", "rank", "idx")
+
+
 def snippet_of(text: str, terms: set[str], size: int = 16, mark: tuple[str, str] = ("<b>", "</b>"), gap: str = "...") -> str:
     """The run of ``size`` words with the most distinct terms, then the most hits; the terms marked."""
     spans = [(m.start(), m.end()) for m in fts._WORD.finditer(text)]

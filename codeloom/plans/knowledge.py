@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.functions import ids, tasks
-from codeloom.operators import catalog, context, graph, memory, symbols
+from codeloom.functions import ids, tasks, text
+from codeloom.operators import catalog, context, graph, memory, search, symbols
 from codeloom.plans.lookups import _LATEST, _LIVE, _REFS, _live, _refs
 from codeloom.plans.registry import Registry, table
 from codeloom.plans.scalars import _IMPORT, _WORDS, _list
+from codeloom.session import materialize
 
 R = Registry()
 
@@ -122,6 +123,13 @@ def _commits(spark, folder):
     return d.select("repo_id", F.col("doc_id").cast("string").alias("commit_id"), "path", "created_at", F.split("text", "\n")[0].alias("summary"))
 
 
+def _recent(spark, folder):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("repo_id").orderBy(F.desc("created_at"), "commit_id")
+    return _commits(spark, folder).withColumn("n", F.row_number().over(w)).filter("n <= 15")
+
+
 @R.query(
     "commit_links",
     f"""SELECT DISTINCT d.repo_id, 'dataset:' || d.repo_id || ':default' AS dataset_id, 'commit:dataset:' || d.repo_id || ':default:' || doc_id AS src_id,
@@ -141,11 +149,7 @@ def commit_links(spark, folder):
 )
 def recent_commits(spark, folder):
     """The 15 newest commits of each repository, the reference's limit."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("repo_id").orderBy(F.desc("created_at"), "commit_id")
-    c = _commits(spark, folder).withColumn("n", F.row_number().over(w)).filter("n <= 15")
-    return c.select("repo_id", "commit_id", "created_at")
+    return _recent(spark, folder).select("repo_id", "commit_id", "created_at")
 
 
 @R.query(
@@ -269,15 +273,16 @@ def _dirty(spark, folder):
     return catalog.latest(table(spark, folder, "files")).filter("git_blob_id IS NULL").select("repo_id", "relative_path")
 
 
-def _context(spark, folder):
+def _context(spark, folder, cut=lambda df, name: df, hits=None):
+    """Matches, dependencies, tests and signals; ``cut`` may end the lineage of the first three."""
     terms, live, refs = _task_terms(spark, folder), _live(spark, folder), _refs(spark, folder)
     files = catalog.latest(table(spark, folder, "files"))
     dirty = _dirty(spark, folder)
-    matches = context.symbol_matches(symbols.exact(live, terms), symbols.partial(live, terms, context.PARTIAL_LIMIT), terms, dirty)
+    matches = cut(context.symbol_matches(symbols.exact(live, terms), symbols.partial(live, terms, context.PARTIAL_LIMIT), terms, dirty), "matches")
     names = matches.select("repo_id", "name").distinct()
-    deps = symbols.dependencies(refs, live, names)
-    tests = symbols.related_tests(refs, files, names)
-    signals = context.file_signals(matches, deps, tests, context.dirty_signal(table(spark, folder, "budgets"), dirty))
+    deps = cut(symbols.dependencies(refs, live, names), "dependencies")
+    tests = cut(symbols.related_tests(refs, files, names), "tests")
+    signals = context.file_signals(matches, deps, tests, context.dirty_signal(table(spark, folder, "budgets"), dirty), hits)
     return matches, deps, tests, signals
 
 
@@ -326,19 +331,53 @@ def context_file_scores(spark, folder):
     return context.file_scores(_context(spark, folder)[3]).drop("reasons")
 
 
+def _task_claims(spark, folder, b, signals):
+    """The claims that bear on each task, judged by their evidence, and (task_id, file, memory_id) of what fresh ones cite."""
+    d = table(spark, folder, "documents").filter("doc_kind = 'memory_claim' AND repo_id IS NOT NULL")
+    # the order of the log in which claims are kept: by their time
+    at = F.struct("created_at", "doc_id")
+    m = d.select(
+        F.col("doc_id").cast("string").alias("memory_id"), "repo_id", text.redact(F.coalesce("text", F.lit(""))).alias("claim"), at.alias("at"), F.col("path").alias("file"),
+        F.lit("fresh").alias("status"), F.lit(1.0).alias("confidence"),
+    )
+    none = F.array().cast("array<string>")
+    e = m.filter("file IS NOT NULL").select("memory_id", "repo_id", "file", none.alias("symbols"), F.lit(None).cast("string").alias("fingerprint"))
+    judged = memory.staleness(m.select("memory_id", "status", "confidence"), e, _live(spark, folder), catalog.latest(table(spark, folder, "files")))
+    m = materialize(m.drop("status", "confidence").join(judged, "memory_id"), "claims")
+    e = m.filter("file IS NOT NULL").select("memory_id", "repo_id", "file", none.alias("symbols"))
+    scored = signals.select("task_id", "file").join(b.select("task_id", "repo_id").distinct(), "task_id").select("task_id", "repo_id", "file").distinct()
+    # a claim that no package of its task can hold is passed over
+    small = m.join(b.select("task_id", "repo_id", "limit_tokens"), "repo_id").filter(text.estimate_tokens(F.col("claim")) <= F.col("limit_tokens")).select("task_id", "memory_id")
+    found = memory.relevant(m, e, _task_terms(spark, folder), scored).join(small, ["task_id", "memory_id"], "left_semi")
+    fresh = m.filter("status = 'fresh' AND confidence > 0")
+    found = memory.followed(found, e, fresh, m.select("memory_id", "at")).join(small, ["task_id", "memory_id"], "left_semi")
+    claims = materialize(
+        found.join(m, "memory_id").select("task_id", "at", "memory_id", "claim", "status", "confidence", F.filter(F.array("file"), lambda f: f.isNotNull()).alias("files")), "task-claims"
+    )
+    supported = claims.filter("status = 'fresh' AND confidence > 0").select("task_id", F.explode("files").alias("file"), "memory_id")
+    return claims, supported
+
+
 @R.query("context_packages")
 def context_packages(spark, folder):
     """The evidence package of every task within its budget."""
     b = table(spark, folder, "budgets")
-    matches, deps, tests, signals = _context(spark, folder)
-    top = context.file_scores(signals, context.FILES)
+    content = table(spark, folder, "file_content")
+    docs = content.groupBy("repo_id", F.col("relative_path").alias("path")).agg(F.min("content").alias("content"))
+    hits = search.bm25_tasks(docs, b.select("task_id", "repo_id", F.col("task_text").alias("query")))
+    hits = materialize(hits.select("task_id", F.col("path").alias("file"), "idx"), "hits")
+    matches, deps, tests, signals = _context(spark, folder, materialize, hits)
+    claims, supported = _task_claims(spark, folder, b, signals)
+    top = context.file_scores(signals.unionByName(context.memory_signal(supported)), context.FILES)
     names = matches.select("task_id", "repo_id", "name").distinct()
     d = deps.filter("role <> 'import'").join(names, ["repo_id", "name"]).select(
         "task_id", F.coalesce("source_symbol_name", F.lit("<top-level>")).alias("caller"), F.col("target_name").alias("callee"),
         F.col("kind").alias("relationship"), F.col("source_file").alias("file_path"), F.col("line_number").alias("line"),
     ).distinct()
     t = tests.join(names, ["repo_id", "name"]).select("task_id", F.col("source_file").alias("test_file"), F.col("source_symbol_name").alias("test_name"), F.col("name").alias("target_symbol")).distinct()
-    return context.packages(b, top, context.candidate_symbols(matches), d, t, table(spark, folder, "file_content"))
+    c = _recent(spark, folder).select("repo_id", "n", "commit_id", text.redact(F.col("summary")).alias("summary"), F.col("created_at").cast("bigint").alias("timestamp"))
+    top, s = materialize(top, "scores"), context.candidate_symbols(matches)
+    return context.packages(b, top, s, d, t, content, c, claims, _dirty(spark, folder))
 
 
 @R.query(
