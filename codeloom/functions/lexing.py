@@ -128,10 +128,14 @@ _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
 _C_LINE = re.compile(r"[ \t]*#(?:[^\n\\/\"']|\\\r?\n|\\.|/(?![*/])|//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[\"'])*", re.S)
 
 
-def lex(language: str, text: str) -> tuple[list[Token], list[tuple[str, int]]]:
-    """Tokens and the lexer's own errors (message, position)."""
+def lex(language: str, text: str, whole: bool = False) -> tuple[list[Token], list[tuple[str, int]]]:
+    """Tokens and the lexer's own errors (message, position).
+
+    The scan ends at an unterminated comment or text, or after 20 errors; with ``whole`` it goes on to the end of
+    the text, and what no token can be told from is one token ``e``.
+    """
     if language in ("javascript", "typescript"):
-        return _lex_js(text)
+        return _lex_js(text, whole)
     tokens: list[Token] = []
     errors: list[tuple[str, int]] = []
     scan, pos, n = _SCAN[language].match, 0, len(text)
@@ -144,7 +148,7 @@ def lex(language: str, text: str) -> tuple[list[Token], list[tuple[str, int]]]:
             pos, end = m.span()
             if kind[0] == "e":
                 errors.append((_MESSAGES[kind], pos))
-                if kind == "e1" or len(errors) > 20:
+                if not whole and (kind == "e1" or len(errors) > 20):
                     return tokens, errors
                 kind = "e"
             tokens.append((kind, pos, end))
@@ -170,12 +174,14 @@ def lex(language: str, text: str) -> tuple[list[Token], list[tuple[str, int]]]:
                 at = s.end()
             if depth:
                 errors.append((_MESSAGES["e1"], pos))
+                if whole:
+                    add(("e", pos, n))
                 return tokens, errors
             end = at
             add(("c", pos, end))
         elif kind[0] == "e":
             errors.append((_MESSAGES[kind], pos))
-            if kind == "e1" or len(errors) > 20:
+            if not whole and (kind == "e1" or len(errors) > 20):
                 return tokens, errors
             add(("e", pos, end))
             fresh = False
@@ -186,7 +192,7 @@ def lex(language: str, text: str) -> tuple[list[Token], list[tuple[str, int]]]:
     return tokens, errors
 
 
-def _lex_js(text: str) -> tuple[list[Token], list[tuple[str, int]]]:
+def _lex_js(text: str, whole: bool = False) -> tuple[list[Token], list[tuple[str, int]]]:
     tokens: list[Token] = []
     errors: list[tuple[str, int]] = []
     scan, pos, n = _SCAN["javascript"].match, 0, len(text)
@@ -217,6 +223,8 @@ def _lex_js(text: str) -> tuple[list[Token], list[tuple[str, int]]]:
             body = _TEMPLATE.match(text, end).end()
             if body >= n:
                 errors.append(("unterminated literal", pos))
+                if whole:
+                    tokens.append(("e", pos if ch == "`" else end, n))
                 return tokens, errors
             if text[body] == "`":
                 tokens.append(("s", pos if ch == "`" else end, body + 1))
@@ -229,7 +237,7 @@ def _lex_js(text: str) -> tuple[list[Token], list[tuple[str, int]]]:
             continue
         if kind[0] == "e":
             errors.append((_MESSAGES[kind], pos))
-            if kind == "e1" or len(errors) > 20:
+            if not whole and (kind == "e1" or len(errors) > 20):
                 return tokens, errors
             tokens.append(("e", pos, end))
             last_kind = "e"

@@ -74,7 +74,7 @@ def _comment_lines(tokens, text: str, language: str):
             yield m.group()
         return
     for k, a, b in tokens:
-        if k == "c":
+        if k == "c" or k == "e" and text.startswith("/*", a):  # a comment without an end is one as well
             yield from text[a:b].splitlines()
 
 
@@ -151,7 +151,7 @@ def features(path: str, text: str | None) -> tuple[str | None, str | None, str |
     kind, told = by_path(path), "place"
     if not text:
         return kind, told if kind else None, None, 0
-    tokens = lex(language, text)[0] if language != "bash" else []
+    tokens = lex(language, text, whole=True)[0] if language != "bash" else []
     code = "".join(text[a:b] for k, a, b in tokens if k not in "cl")
     if language == "bash":
         code = re.sub(r"(?m)^[ \t]*#.*$|\s+", "", text)
