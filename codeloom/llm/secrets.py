@@ -292,7 +292,7 @@ def _hidden(text: str, depth: int) -> Iterator[Find]:
         for m in pattern.finditer(text):
             literal = m.group()
             for inner, data in _layers(literal):
-                if data is not None and len(data) >= 64 and _der(data) == "private":
+                if data is not None and _der(data) == "private":
                     yield m.start(), m.end(), "encoded private key"
                 elif inner is not None and inner != literal and _any(inner, depth - 1):
                     yield m.start(), m.end(), "encoded"

@@ -7,7 +7,7 @@ import base64
 import pytest
 
 from codeloom.functions.lexing import lex
-from codeloom.llm import provenance
+from codeloom.llm import provenance, secrets
 
 
 STRAY = "int a = 1;\n" * 12 + "@ ` @ ` @ ` @ ` @ ` @ ` @ ` @ ` @ ` @ ` @ ` @ `\n"
@@ -22,3 +22,14 @@ def test_provenance_reads_on_behind_lexical_errors():
         assert a[2] != b[2], path
     assert provenance.features("src/a.c", "/* Code generated by protoc. DO NOT EDIT.\n")[0] == "generated"
     assert len(lex("c", STRAY + "int last;")[1]) == 21  # the early stop stays for other callers
+
+
+@pytest.mark.parametrize("head", ["302e020100300506032b657004220420", "302e020100300506032b656e04220420", "30250201010420", "303102010104 20a00a06082a8648ce3d030107"])
+def test_short_private_keys_are_found(head):
+    head = bytes.fromhex(head)
+    key = bytes((i * 37 + 129) % 256 for i in range(32))
+    data = head[:7] + key + head[7:] if head[1] == 0x31 else head + key
+    for literal in (base64.b64encode(data).decode(), data.hex()):
+        assert [f[2] for f in secrets.finds(f'SERVER_DER = "{literal}"')] == ["encoded private key"]
+    public = bytes.fromhex("302a300506032b6570032100") + key
+    assert not secrets.finds(f'SERVER_DER = "{base64.b64encode(public).decode()}"')
