@@ -253,8 +253,8 @@ def _at_names(text: str) -> Iterator[re.Match]:
             continue
         while i > 0 and (text[i - 1].isalnum() or text[i - 1] in "_$.-"):
             i -= 1
-        while i < h.start() and not (text[i].isalpha() or text[i] in "_$"):
-            i += 1
+        while i < h.end() and not (text[i].isascii() and text[i].isalpha() or text[i] in "_$"):
+            i += 1  # a name begins with an ASCII letter; others may stand before it without a blank
         if m := _ASSIGNED.match(text, i):
             done = m.end("key")
             yield m

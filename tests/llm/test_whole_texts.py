@@ -33,3 +33,10 @@ def test_short_private_keys_are_found(head):
         assert [f[2] for f in secrets.finds(f'SERVER_DER = "{literal}"')] == ["encoded private key"]
     public = bytes.fromhex("302a300506032b6570032100") + key
     assert not secrets.finds(f'SERVER_DER = "{base64.b64encode(public).decode()}"')
+
+
+@pytest.mark.parametrize("before", ["密码", "é", "ключ-", "1é2.", "", "a密"])
+def test_names_behind_other_letters_are_found(before):
+    for name in ("password", "db_password", "api_key"):
+        text = f'x = 1 # {before}{name}: "Zq7vR2mK9xTb"'
+        assert [text[a:b] for a, b, _ in secrets.finds(text)] == ["Zq7vR2mK9xTb"]
