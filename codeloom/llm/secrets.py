@@ -303,7 +303,7 @@ def _any(text: str, depth: int) -> bool:
 
 
 _HINTS = (
-    "key", "token", "secret", "pass", "pwd", "pw", "auth", "cred", "kennwort", "senha", "contrase", "jwt", "psk", "login", "://", "eyj",
+    "key", "token", "secret", "pass", "pwd", "pw", "auth", "cred", "kennwort", "senha", "contrase", "jwt", "psk", "login", "sign_in", "signin", "://", "eyj",
     "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "glpat", "xox", "k_live", "aiza", "npm_", "pypi-", "sg.", "begin", "basic",
     "bearer", "curl", "identified",
 )

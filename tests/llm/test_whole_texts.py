@@ -40,3 +40,17 @@ def test_names_behind_other_letters_are_found(before):
     for name in ("password", "db_password", "api_key"):
         text = f'x = 1 # {before}{name}: "Zq7vR2mK9xTb"'
         assert [text[a:b] for a, b, _ in secrets.finds(text)] == ["Zq7vR2mK9xTb"]
+
+
+CALLS = [f'c.{n}("deploy", "Zq7vR2mK9xTb")' for n in ("login", "sign_in", "signIn", "authenticate", "set_basic_auth", "setBasicAuth", "basic_auth", "http_basic", "auth")]
+CALLS += [f'c.{n}("Zq7vR2mK9xTb")' for n in ("password", "passwd", "pass", "api_key", "apikey", "token", "secret")]
+CALLS += [f'h["{n}"] = "Zq7vR2mK9xTb"' for n in ("x-api-key", "x-auth-token", "api-key", "x-access-token", "private-token")]
+CALLS += [f"run --{n} Zq7vR2mK9xTb" for n in ("password", "passwd", "pass", "pw", "token", "api-key", "secret", "client-secret", "auth-token")]
+CALLS += [f"the {n} was Zq7vR2mK9xTb" for n in ("password", "passwd", "passphrase", "pw", "pwd", "token", "secret", "api key", "kennwort")]
+CALLS += ["curl -u me:Zq7vR2mK9xTb http", "IDENTIFIED BY 'Zq7vR2mK9xTb'", "PGPASSWORD=Zq7vR2mK9xTb", "MYSQL_PWD=Zq7vR2mK9xTb", "sshpass -p Zq7vR2mK9xTb"]
+
+
+@pytest.mark.parametrize("line", CALLS)
+def test_every_guarded_form_holds_a_hint(line):
+    assert any(h in line.lower() for h in secrets._HINTS)
+    assert secrets.finds(line)
