@@ -30,9 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Layers of encoding that are opened.
-DEPTH = 4
-
 Find = tuple[int, int, str]  # start and end of what is overwritten, kind
 
 # Published token formats.
@@ -283,23 +280,42 @@ def _named(text: str) -> Iterator[Find]:
                 yield m.start("v"), m.end("v"), "inline"
 
 
-def _hidden(text: str, depth: int) -> Iterator[Find]:
-    """Finds inside encoded literals, charged to the outermost literal."""
-    if depth <= 0:
-        return
+def _decoded(text: str) -> Iterator[tuple[re.Match, str | None]]:
+    """Every encoded literal with the text inside it; None where it is a private key."""
     coded = "%" in text or "\\" in text and _ESCAPE.search(text)
     for pattern in (_LITERAL, _CODED) if coded else (_LITERAL,):
         for m in pattern.finditer(text):
             literal = m.group()
             for inner, data in _layers(literal):
                 if data is not None and _der(data) == "private":
-                    yield m.start(), m.end(), "encoded private key"
-                elif inner is not None and inner != literal and _any(inner, depth - 1):
-                    yield m.start(), m.end(), "encoded"
+                    yield m, None
+                elif inner is not None and len(inner) < len(literal):  # so that the layers come to an end
+                    yield m, inner
 
 
-def _any(text: str, depth: int) -> bool:
-    return any(True for _ in _strong(text, True)) or any(True for _ in _named(text)) or any(True for _ in _hidden(text, depth))
+def _hidden(text: str) -> Iterator[Find]:
+    """Finds inside encoded literals, charged to the outermost literal."""
+    for m, inner in _decoded(text):
+        if inner is None:
+            yield m.start(), m.end(), "encoded private key"
+        elif _any(inner):
+            yield m.start(), m.end(), "encoded"
+
+
+def _any(text: str) -> bool:
+    """Whether a decoded text holds a credential, itself or in any layer below."""
+    todo, seen = [text], {text}
+    while todo:
+        t = todo.pop()
+        if any(True for _ in _strong(t, True)) or any(True for _ in _named(t)):
+            return True
+        for _, inner in _decoded(t):
+            if inner is None:
+                return True
+            if inner not in seen:
+                seen.add(inner)
+                todo.append(inner)
+    return False
 
 
 _HINTS = (
@@ -318,7 +334,7 @@ def finds(text: str) -> list[Find]:
     if any(h in low for h in _HINTS):
         found += _strong(text, False)
         found += _named(text)
-    found += _hidden(text, DEPTH)
+    found += _hidden(text)
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[Find] = []
     for f in found:

@@ -54,3 +54,17 @@ CALLS += ["curl -u me:Zq7vR2mK9xTb http", "IDENTIFIED BY 'Zq7vR2mK9xTb'", "PGPAS
 def test_every_guarded_form_holds_a_hint(line):
     assert any(h in line.lower() for h in secrets._HINTS)
     assert secrets.finds(line)
+
+
+@pytest.mark.parametrize("layers", [1, 4, 5, 9])
+def test_every_layer_is_opened(layers):
+    inner = 'password = "Zq7vR2mK9xTb"'
+    for i in range(layers):
+        inner = base64.b64encode(inner.encode()).decode() if i % 2 == 0 else inner.encode().hex()
+    text = f'x = "{inner}"'
+    assert [f[2] for f in secrets.finds(text)] == ["encoded"]
+    assert inner not in secrets.redact(text) and not secrets.finds(secrets.redact(text))
+
+
+def test_long_chains_of_layers_end():
+    assert not secrets.finds("x = '%" + "25" * 400 + "41'")
