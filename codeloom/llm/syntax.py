@@ -1152,6 +1152,10 @@ def _check_json(run: _Run) -> Fault | None:
     return None if want == "end" else ("premature end", len(run.text))
 
 
+#: The parser's answer where a text is nested too deeply for it.
+_GAVE_UP = "nested too deeply"
+
+
 def _exact(language: str, text: str) -> str | None:
     """What a full parser of the standard library says; None if it accepts the text."""
     try:
@@ -1163,12 +1167,10 @@ def _exact(language: str, text: str) -> str | None:
             json.loads(text)
         else:
             tomllib.loads(text)
-    except RecursionError:
-        return None
+    except (RecursionError, MemoryError):
+        return _GAVE_UP
     except (SyntaxError, ValueError) as e:
         return str(e)[:80]
-    except MemoryError:
-        return None
     return None
 
 
@@ -1200,6 +1202,8 @@ def fault(language: str, text: str) -> Fault | None:
         exact = _exact(language, text)
         if exact is None:
             return None
+        if exact is _GAVE_UP:  # the stack has seen the whole text
+            return found
         return found or (exact, 0)
     return found
 

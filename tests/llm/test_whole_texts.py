@@ -7,7 +7,7 @@ import base64
 import pytest
 
 from codeloom.functions.lexing import lex
-from codeloom.llm import provenance, secrets
+from codeloom.llm import provenance, secrets, syntax
 
 
 STRAY = "int a = 1;\n" * 12 + "@ ` @ ` @ ` @ ` @ ` @ ` @ ` @ ` @ ` @ ` @ ` @ `\n"
@@ -68,3 +68,10 @@ def test_every_layer_is_opened(layers):
 
 def test_long_chains_of_layers_end():
     assert not secrets.finds("x = '%" + "25" * 400 + "41'")
+
+
+def test_deep_nesting_keeps_the_verdict_of_the_stack():
+    n = 200_000
+    assert syntax.fault("json", "[" * n) and syntax.fault("json", "[" * n + "]" * (n - 1))
+    assert syntax.fault("json", "[" * n + "]" * n) is None
+    assert syntax.fault("toml", "a = " + "[" * n) and syntax.fault("toml", "a = " + "[" * n + "]" * n) is None
