@@ -20,15 +20,14 @@ _SIDES = """
 """
 
 
-def _tracked(spark, folder):
-    return orphans.replay(spark, table(spark, folder, "symbol_references"), table(spark, folder, "symbols"))
+def _tracked(spark, folder, snapshot):
+    return orphans.replay(spark, table(spark, folder, "symbol_references"), table(spark, folder, "symbols"), snapshot=snapshot)
 
 
 @R.query("p1_found", f"WITH {_SIDES} SELECT DISTINCT ref_id, side FROM judged WHERE orphan")
 def p1_found(spark, folder):
     """Distinct (ref_id, side) of references to symbols that do not live at the time."""
-    tracker, state = _tracked(spark, folder)
-    return tracker.orphans(state)
+    return _tracked(spark, folder, False).orphans()
 
 
 @R.query(
@@ -41,5 +40,4 @@ def p1_found(spark, folder):
 )
 def p1_orphan_counts(spark, folder):
     """Orphans per table, side and month of recorded_at: the last snapshot of the tracker."""
-    tracker, state = _tracked(spark, folder)
-    return spark.read.parquet(state.snapshots[-1]).drop("batch")
+    return _tracked(spark, folder, True).snapshot().drop("batch")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codeloom.operators import catalog
-from codeloom.operators.orphans import OrphanState, OrphanTracker, parent_events, reference_sides
+from codeloom.operators.orphans import OrphanTracker, parent_versions, reference_sides
 from codeloom.sources.store import Store
 
 INTERVAL = "15 seconds"
@@ -25,6 +25,9 @@ def apply_batch(store: Store, batch: DataFrame, number: int, table: str = "files
     if old is not None and old.agg(F.max("_batch")).first()[0] is not None and old.agg(F.max("_batch")).first()[0] >= number:
         return 0
     new = catalog.latest(batch)
+    if old is not None:  # a scan older than the one in the catalog comes too late
+        known = old.select(*catalog.FILE_KEY, F.col("indexed_at").alias("_known"))
+        new = new.join(known, catalog.FILE_KEY, "left").filter("_known IS NULL OR indexed_at >= _known").drop("_known")
     gone = new.filter("deleted").select(*catalog.FILE_KEY)
     live = new.filter("NOT deleted").drop("deleted")
     if old is None:
@@ -49,25 +52,19 @@ def start(stream: DataFrame, store: Store, checkpoint: str, table: str = "files"
 class OrphanStream:
     """Feeds micro-batches of references and symbols to one tracker.
 
-    ``references`` and ``symbols`` are handlers for two streams; each batch advances the state and
-    leaves a snapshot of the counts.
+    ``references`` and ``symbols`` are handlers for ``foreachBatch`` of two streams. Each keeps its own batch numbers in
+    the tracker's manifest, so a micro-batch that is run again after a failure changes nothing.
     """
 
     def __init__(self, tracker: OrphanTracker):
-        self.tracker, self.state, self.batches = tracker, OrphanState(), 0
-        spark = tracker.spark
-        self._no_refs = spark.createDataFrame([], "ref_id bigint, side string, repo_id string, id string, ts timestamp")
-        self._no_events = spark.createDataFrame([], "repo_id string, id string, ts timestamp, delta bigint")
+        self.tracker = tracker
 
-    def references(self, batch: DataFrame, number: int) -> None:
-        self._advance(reference_sides(batch), self._no_events)
+    def references(self, batch: DataFrame, number: int) -> bool:
+        return self.tracker.advance(refs=reference_sides(batch), batch=number, source="references")
 
-    def symbols(self, batch: DataFrame, number: int) -> None:
-        self._advance(self._no_refs, parent_events(batch))
-
-    def _advance(self, refs: DataFrame, events: DataFrame) -> None:
-        self.state = self.tracker.advance(self.state, refs, events, self.batches)
-        self.batches += 1
+    def symbols(self, batch: DataFrame, number: int) -> bool:
+        """A symbol that was deleted comes again as its updated row."""
+        return self.tracker.advance(parents=parent_versions(batch), batch=number, source="symbols")
 
     def orphans(self) -> DataFrame:
-        return self.tracker.orphans(self.state)
+        return self.tracker.orphans()
