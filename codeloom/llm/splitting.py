@@ -4,20 +4,20 @@ The text is read as a row of units (lines, else sentences, else words, else
 characters). At every border between units two blocks of words, one before and
 one after, are compared by the cosine of their counts; a valley of this
 similarity marks a change of topic, and its *depth* is the rise to the peaks on
-both sides. Within the size window of a piece the deepest valley of the best kind of
-border is the cut. Then each piece but the first is given the overlap before it.
+both sides. Within the size window of a piece the deepest valley is the cut: among line ends, where an
+empty line weighs a little more than another; where the window has none, among sentence ends; else among white space; else
+between any two user-visible characters. Then each piece but the first is given the overlap before it.
 
-Border kinds, best first: an empty line, a line end, a sentence end, white space,
-any place between two user-visible characters. A cut never divides a character,
-a CR LF pair, or a letter and its combining marks or joiners (unless one such
+A cut never divides a character, a CR LF pair, or a letter and its combining marks or joiners (unless one such
 cluster alone exceeds the limit).
 
 Defined results: sizes are UTF-8 bytes. Content of at most the limit, empty or null
 is no case and gives no piece. ``max_kb`` null means 2048. A limit below 4 bytes is
-read as 4. The overlap is cut down to half of the limit at most, and to a character
-border, so it may be up to a cluster shorter than asked. Pieces without their overlap
-(``start_byte`` to ``end_byte``) join to the content exactly. Repeated rows of an id
-give its pieces once (the first content in order where they differ).
+read as 4. The overlap is the one asked, down to a character border, so it may be up to a cluster shorter; it is at most
+what leaves each piece one new character (the limit less 4 bytes), and ``overlap_short`` marks the pieces that had to take
+less than was asked. Pieces without their overlap
+(``start_byte`` to ``end_byte``) join to the content exactly. The same content of an id and repository
+gives its pieces once; contents that differ are all split, told apart by ``content_hash``.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_KB = 2048
 #: Words in each of the two compared blocks.
 BLOCK = 24
+#: How much the depth of a valley counts at an empty line and at another line end.
+BLANK_WEIGHT, LINE_WEIGHT = 1.0, 0.75
 #: A piece is at least this share of the room, if any border allows.
 LEAST_SHARE = 0.5
 
@@ -114,7 +116,7 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     if len(data) <= limit:
         return []
     limit = max(4, limit)
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 4))
     room = limit - overlap
     if len(data) == len(text):
         byte_of = None
@@ -128,6 +130,8 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     marks = borders(text)
     places = [p for p, _ in marks]
     depth = depths(text, places)
+    rank = [(min(k - 1, 2) if k else 0) for _, k in marks]  # line ends, sentences, white space
+    depth = [d * (BLANK_WEIGHT if k == 0 else LINE_WEIGHT if k == 1 else 1.0) for d, (_, k) in zip(depth, marks, strict=True)]
     out, start, n = [], 0, len(text)
     while start < n:
         space = limit if start == 0 else room
@@ -141,8 +145,8 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
             for low in (max(least, start + 1), start + 1):
                 i, j = bisect.bisect_left(places, low), bisect.bisect_right(places, last)
                 if i < j:
-                    kind = min(marks[k][1] for k in range(i, j))
-                    end = max((depth[k], places[k]) for k in range(i, j) if marks[k][1] == kind)[1]
+                    best = min(rank[i:j])
+                    end = max((depth[k], -marks[k][1], places[k]) for k in range(i, j) if rank[k] == best)[2]
                     break
             if not end:
                 end = last
@@ -164,20 +168,22 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
 
 
 SCHEMA = (
-    "id string, repo_id string, piece_no int, n_pieces int, from_byte bigint, start_byte bigint, end_byte bigint, content string"
+    "id string, repo_id string, content_hash string, piece_no int, n_pieces int, from_byte bigint, start_byte bigint, end_byte bigint,"
+    " overlap_short boolean, content string"
 )
 
 
 def _run(batches):
     names = [f.split()[0] for f in SCHEMA.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    kinds = [pa.string()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 3 + [pa.bool_(), pa.string()]
     for batch in batches:
         rows = []
         for d in batch.to_pylist():
             data = d["content"].encode()
             cuts = split(d["content"], d["limit_bytes"], d["overlap_bytes"])
             for k, (head, lo, hi) in enumerate(cuts):
-                rows.append((d["id"], d["repo_id"], k, len(cuts), head, lo, hi, data[head:hi].decode()))
+                short = lo - head < min(d["overlap_bytes"], lo) and max(4, d["limit_bytes"]) - 4 < d["overlap_bytes"]
+                rows.append((d["id"], d["repo_id"], d["content_hash"], k, len(cuts), head, lo, hi, short, data[head:hi].decode()))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
@@ -198,6 +204,7 @@ def pieces(datapoints: DataFrame, config: DataFrame) -> DataFrame:
         .withColumn("overlap_bytes", F.coalesce("overlap_bytes", F.lit(0)))
         .filter(F.octet_length("content") > F.col("limit_bytes"))
     )
-    first = F.min(F.struct("repo_id", "content", "limit_bytes", "overlap_bytes"))
-    once = sized.groupBy("id").agg(first.alias("d")).select("id", "d.*")
+    hashed = sized.withColumn("content_hash", F.sha2("content", 256))
+    first = F.min(F.struct("content", "limit_bytes", "overlap_bytes"))
+    once = hashed.groupBy("id", "repo_id", "content_hash").agg(first.alias("d")).select("id", "repo_id", "content_hash", "d.*")
     return once.mapInArrow(_run, SCHEMA)

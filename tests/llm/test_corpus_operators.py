@@ -54,14 +54,14 @@ def test_decode_round_trip(spark):
 # ---- packing
 
 
-@pytest.mark.parametrize("policy", ["shortest", "fullest", "fewest"])
-def test_patterns_hold_every_length_once(policy):
+@pytest.mark.parametrize("refined", [False, True])
+def test_patterns_hold_every_length_once(refined):
     rng = random.Random(5)
     for _ in range(200):
         cap = rng.randrange(1, 60)
         hist = {rng.randrange(1, cap + 1): rng.randrange(1, 30) for _ in range(rng.randrange(0, 12))}
         seen: dict[int, int] = {}
-        for count, lengths in packing.pack_histogram(hist, cap, policy):
+        for count, lengths in packing.pack_histogram(hist, cap, refined):
             assert sum(lengths) <= cap and count > 0
             for x in lengths:
                 seen[x] = seen.get(x, 0) + count
@@ -92,6 +92,39 @@ def test_patterns_use_no_more_than_best_fit():
         assert used <= best_fit(lengths, cap)
 
 
+def shortest_first(lengths, cap):
+    """Containers of the plain rule, item by item: into the emptiest that has room."""
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        if rooms and max(rooms) >= x:
+            r = max(rooms)
+            rooms.remove(r)
+            rooms.append(r - x)
+        else:
+            rooms.append(cap - x)
+    return len(rooms)
+
+
+def test_the_plain_placement_is_shortest_pack_first():
+    rng = random.Random(16)
+    for _ in range(150):
+        cap = rng.choice([20, 100, 256])
+        hist = {rng.randrange(1, cap + 1): rng.randrange(1, 9) for _ in range(12)}
+        plain = packing.place(hist, cap)
+        assert sum(c for c, _ in plain) == shortest_first([k for k, v in hist.items() for _ in range(v)], cap)
+        assert sum(c for c, _ in packing.pack_histogram(hist, cap)) <= sum(c for c, _ in plain)
+
+
+def test_a_hot_length_is_ranked_in_salts(spark):
+    items = [(1, f"f{i}", None, None, "x" * rng, 1) for i, rng in enumerate([20] * 400 + list(range(4, 84, 4)) * 3)]
+    df = spark.createDataFrame(items, ITEMS)
+    budgets = spark.createDataFrame([(1, 20)], "task_id bigint, limit_tokens bigint")
+    for salt_rows in (10**6, 2):
+        rows = packing.pack(df, budgets, salt_rows=salt_rows).collect()
+        check_packing(rows)
+        assert len(rows) == len(items) and all(r.container is not None for r in rows)
+
+
 ITEMS = "task_id bigint, relative_path string, score double, reasons array<string>, snippet string, extra int"
 
 
@@ -154,7 +187,7 @@ def check_split(text, limit, overlap):
         data[h:hi].decode()
         if nxt:
             assert nxt[1] == hi
-            assert nxt[0] >= hi - min(overlap, max(4, limit) // 2)
+            assert nxt[0] >= hi - overlap
     assert b"".join(data[lo:hi] for _, lo, hi in cuts) == data
     return cuts
 
@@ -177,6 +210,21 @@ def test_split_prefers_topic_borders():
     assert len(one) in [c[2] for c in cuts]
 
 
+def test_split_takes_the_deepest_valley_not_the_first_empty_line():
+    one = "the cat purrs and the cat sleeps on a warm mat\n"
+    two = "stocks fell as bond yields rose in early trading\n"
+    text = one * 10 + "\n" + one * 3 + two * 14
+    cuts = check_split(text, 800, 0)
+    assert len(one * 13) + 1 in [c[2] for c in cuts]  # a plain line end where the topic changes
+    assert len(one * 10) + 1 not in [c[2] for c in cuts]
+
+
+@pytest.mark.parametrize("overlap", [600, 1000, 1020, 5000])
+def test_overlap_is_given_in_full(overlap):
+    cuts = check_split("abcdefghi\n" * 300, 1024, overlap)
+    assert all(lo - h == min(overlap, 1020, lo) for h, lo, _ in cuts)
+
+
 def test_split_keeps_clusters_whole():
     text = "é\r\n" * 400
     for _, _, hi in check_split(text, 100, 10)[:-1]:
@@ -194,6 +242,17 @@ def test_pieces_of_tables(spark):
     assert all(len(r.content.encode()) <= 1024 and r.n_pieces == len(a) for r in a)
 
 
+def test_one_id_in_two_repositories_and_with_two_contents(spark):
+    d = [("a", "r1", "x" * 3000), ("a", "r2", "y" * 2500), ("a", "r2", "z" * 2500), ("a", None, "q" * 2100 * 1024)]
+    config = spark.createDataFrame([("r1", 1, 1023), ("r2", 1, 0)], "repo_id string, max_file_size_kb bigint, overlap_bytes bigint")
+    out = splitting.pieces(spark.createDataFrame(d, "id string, repo_id string, content string"), config).collect()
+    whole: dict = {}
+    for r in sorted(out, key=lambda r: r.piece_no):
+        whole.setdefault((r.repo_id, r.content_hash), []).append(r.content.encode()[r.start_byte - r.from_byte :])
+    assert sorted((k[0] or "", b"".join(v).decode()) for k, v in whole.items()) == sorted((r or "", t) for _, r, t in d)
+    assert {r.repo_id for r in out if r.overlap_short} == {"r1"}
+
+
 # ---- leakage
 
 
