@@ -57,7 +57,7 @@ _SCHEME = re.compile(r"(?i)\b(basic|bearer)[ \t]+([A-Za-z0-9+/_=.~-]{8,})")
 _NAMES = re.compile(
     r"apikey|apitoken|authtoken|accesstoken|refreshtoken|bearertoken|accesskey|secretkey|secrettoken|clientsecret|signingsecret|signingkey"
     r"|privatekey|encryptionkey|masterkey|webhooksecret|sharedsecret|dbpass|password|passwd|passphrase|passcode|kennwort|passwort|motdepasse"
-    r"|contrasena|senha|secret|credential"
+    r"|pwd|contrasena|senha|secret|credential"
 )
 _NAME_HINT = re.compile(r"(?i)key|token|secret|pass|pwd|pw|auth|cred|kennwort|senha|contrase|jwt|psk")
 _SHORT_NAMES = {"pw", "pwd", "pass", "jwt", "creds", "psk"}
@@ -67,9 +67,10 @@ _QUOTED = r"""(?P<q>\"\"\"|'''|["'`])(?P<v>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)"""
 _ASSIGNED = re.compile(
     r"""(?P<key>[A-Za-z_$][\w$.-]*)["']?\]?[ \t]*(?::[ \t]*[&\w<>\[\]' ]{1,30}[ \t]*(?==))?(?::=|=>|=|:)[ \t]*(?:[bBrRuUfF]|&|\(|(?:concat!|String::from|String|str|bytes|Buffer\.from|atob|(?:base64\.)?b64decode|(?:binascii\.)?unhexlify|bytes\.fromhex|\[\]byte)\([ \t]*b?)?[ \t]*(?:\r?\n[ \t]*)?""" + _QUOTED
 )
+_OPTION = re.compile(r"(?P<key>[A-Za-z_][\w.:]*)[ \t]*,[ \t]*(?:\r?\n[ \t]*)?" + _QUOTED)  # an option's name and its value
 _DEFINED = re.compile(r"#[ \t]*define[ \t]+(?P<key>\w+)[ \t]+" + _QUOTED)
 _CONTINUED = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+|\.(?!\w)|\.\.|,(?=[^\n]*\"\)))?[ \t]*(?:\\?\r?\n[ \t]*)?" + _QUOTED)
-_BARE = re.compile(r"(?m)^[ \t]*(?:export[ \t]+|set[ \t]+)?(?P<key>[A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*(?P<v>[^\s\"'`#;{\[(<$&|][^\s\"'`;,]*)[ \t]*(?:#.*)?\r?$")
+_BARE = re.compile(r"(?m)^[ \t]*(?:export[ \t]+|set[ \t]+|//[^\s=]*:)?(?P<key>[A-Za-z_][\w.-]*)[ \t]*[=:][ \t]*(?P<v>[^\s\"'`#;{\[(<$&|][^\s\"'`;,]*)[ \t]*(?:#.*)?\r?$")
 _CALLS = [
     re.compile(r"""(?i)\b(?:login|sign_?in|authenticate|set_?basic_?auth|basic_?auth|http_?basic\w*|auth)\b[ \t]*(?:=[ \t]*)?\([ \t]*["'][^"'\n]*["'][ \t]*,[ \t]*""" + _QUOTED),
     re.compile(r"""(?i)\.(?:password|passwd|pass|api_?key|token|secret)[ \t]*\([ \t]*""" + _QUOTED),
@@ -141,45 +142,84 @@ def usable(v: str) -> bool:
     return False
 
 
-def _der(data: bytes) -> str | None:
-    """"private", "public" or "other" if the bytes are one DER sequence, by its first elements."""
+# Object identifiers, encoded, of the password-based encryptions (PKCS#5, PKCS#12) and of plain data (PKCS#7).
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+_DATA = bytes.fromhex("2a864886f70d010701")
+_OPENSSH = b"openssh-key-v1\0"
+
 
-    def head(i: int) -> tuple[int, int, int] | None:
-        if i + 2 > len(data):
+def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the DER elements that fill ``data[at:end]`` exactly, or None."""
+    out = []
+    while at < end:
+        if at + 2 > end:
             return None
-        tag, size, i = data[i], data[i + 1], i + 2
+        tag, size, at = data[at], data[at + 1], at + 2
         if size & 0x80:
             k = size & 0x7F
-            if not 1 <= k <= 4 or i + k > len(data):
+            if not 1 <= k <= 4 or at + k > end:
                 return None
-            size, i = int.from_bytes(data[i : i + k], "big"), i + k
-        return tag, i, i + size
+            size, at = int.from_bytes(data[at : at + k], "big"), at + k
+        if at + size > end:
+            return None
+        out.append((tag, at, at + size))
+        at += size
+    return out
+
+
+def _der(data: bytes) -> str | None:
+    """"private", "public" or "other" if the bytes are one container of keys by its grammar.
 
-    outer = head(0)
-    if not outer or outer[0] != 0x30 or outer[2] != len(data):
+    Private: PKCS#1 and DSA (a version and six integers or more), PKCS#8 (version, algorithm, octets) and its encrypted form
+    (a password-based algorithm, octets), SEC 1 (version 1, octets), PKCS#12 (version 3, content, perhaps a MAC), OpenSSH.
+    A container of another kind is searched for one of these in its sequences and octets.
+    """
+    if data.startswith(_OPENSSH):
+        return "private"
+    outer = _elements(data, 0, len(data)) if data[:1] == b"\x30" else None
+    if not outer or len(outer) != 1:
         return None
-    tags, i = [], outer[1]
-    first = None
-    while i < outer[2] and len(tags) < 10:
-        e = head(i)
-        if not e or e[2] > outer[2]:
-            return None
-        tags.append(e[0])
-        if first is None:
-            first = data[e[1] : e[2]]
-        i = e[2]
-    if tags[:1] == [0x02] and first in (b"\x00", b"\x01"):
-        # version, then: nine integers (PKCS#1), a sequence and a string (PKCS#8), a string (SEC 1)
-        if tags[1:2] in ([0x02], [0x30], [0x04]):
-            return "private"
-    if tags in ([0x30, 0x03], [0x30, 0x30, 0x03], [0x02, 0x02]):
-        return "public"
-    return "other"
+    todo, kind = [outer[0]], "other"
+    while todo:
+        tag, at, end = todo.pop()
+        if tag == 0x04:  # octets may hold a sequence of their own
+            inner = _elements(data, at, end) if data[at : at + 1] == b"\x30" else None
+            todo += inner if inner and len(inner) == 1 else []
+            continue
+        parts = _elements(data, at, end)
+        if not parts:
+            continue
+        tags = [t for t, _, _ in parts]
+        first = data[parts[0][1] : parts[0][2]]
+        if tags[0] == 0x02 and tag == 0x30:
+            if first in (b"\0", b"\1") and (tags.count(0x02) == len(tags) >= 6 or tags[1:3] == [0x30, 0x04] or first == b"\1" and tags[1:2] == [0x04]):
+                return "private"
+            if first == b"\3" and tags[1:] in ([0x30], [0x30, 0x30]):
+                inner = _elements(data, *parts[1][1:]) or []
+                if inner and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]] == _DATA:
+                    return "private"
+        if tags == [0x30, 0x04]:
+            inner = _elements(data, *parts[0][1:]) or []
+            if inner and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]].startswith(_PBE):
+                return "private"
+        if tags in ([0x30, 0x03], [0x30, 0x30, 0x03], [0x02, 0x02]) and kind == "other":
+            kind = "public"
+        todo += [p for p in parts if p[0] in (0x30, 0x31, 0x04) or p[0] & 0xE0 == 0xA0]
+    return kind
 
 
 def _text_of(data: bytes) -> str | None:
+    """The text that bytes hold: UTF-8, or UTF-16 told by its mark or by zeros in every other byte."""
+    codec = "utf-8"
+    if len(data) >= 12 and len(data) % 2 == 0:
+        if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            codec = "utf-16"
+        elif not any(data[1::2]):
+            codec = "utf-16-le"
+        elif not any(data[::2]):
+            codec = "utf-16-be"
     try:
-        s = data.decode("utf-8")
+        s = data.decode(codec)
     except UnicodeDecodeError:
         return None
     return s if len(s) >= 6 and sum(c.isprintable() or c in "\n\r\t" for c in s) == len(s) else None
@@ -213,7 +253,7 @@ def _layers(literal: str) -> Iterator[tuple[str | None, bytes | None]]:
             yield s, None
 
 
-def _strong(text: str, deep: bool) -> Iterator[Find]:
+def _strong(text: str) -> Iterator[Find]:
     """Finds that need no name: formats, key blocks, addresses, header values."""
     for m in _FORMATS.finditer(text) if any(h in text for h in _HEADS) else ():
         v = m.group()
@@ -221,15 +261,18 @@ def _strong(text: str, deep: bool) -> Iterator[Find]:
         if not masked(body) and not re.search(r"(?i)example|sample|(.)\1{6}", v) and (m.lastgroup == "aws" or re.search(r"\d", body)):
             yield m.start(), m.end(), m.lastgroup
     for m in _PEM.finditer(text):
-        end = text.find("-----END ", m.end())
-        stop = end if end >= 0 else len(text)
-        body = re.sub(r"\\+[nrt]|[\s\"'+\\]|//|#", "", text[m.end() : min(stop, m.end() + 20_000)])
+        last = text.find("-----BEGIN ", m.end())  # a block without an end reaches to the next one
+        last = last if last >= 0 else len(text)
+        end = text.find("-----END ", m.end(), last)
+        stop = end if end >= 0 else last
+        body = re.sub(r"\\+[nrt]|[\s\"'+\\]|//|#", "", text[m.end() : stop])
         if len(body) < 16 or masked(body):
             continue
         yield m.start(), stop, "private key"
     for m in _URL.finditer(text):
         v = urllib.parse.unquote(m.group(2))
-        if not masked(v) and re.search(r"\d|[^A-Za-z]", v) and not re.match(r"(?i)pass(?:word|wd)?\d?$", v) and v.lower() != m.group(1).lower():
+        cased = len(v) >= 8 and len(re.findall(r"[a-z][A-Z]", v)) >= 2 and not names_credential(v)
+        if not masked(v) and (cased or re.search(r"\d|[^A-Za-z]", v)) and not re.match(r"(?i)pass(?:word|wd)?\d?$", v) and v.lower() != m.group(1).lower():
             yield m.start(2), m.end(2), "password in an address"
     for m in _SCHEME.finditer(text):
         v = m.group(2)
@@ -242,7 +285,7 @@ def _strong(text: str, deep: bool) -> Iterator[Find]:
 
 
 def _at_names(text: str) -> Iterator[re.Match]:
-    """Assignments whose name may be a credential's: the pattern is tried only where such a word stands."""
+    """Assignments and options whose name may be a credential's: the patterns are tried only where such a word stands."""
     done = -1
     for h in _NAME_HINT.finditer(text):
         i = h.start()
@@ -252,9 +295,10 @@ def _at_names(text: str) -> Iterator[re.Match]:
             i -= 1
         while i < h.end() and not (text[i].isascii() and text[i].isalpha() or text[i] in "_$"):
             i += 1  # a name begins with an ASCII letter; others may stand before it without a blank
-        if m := _ASSIGNED.match(text, i):
+        if m := _ASSIGNED.match(text, i) or _OPTION.match(text, i):
             done = m.end("key")
-            yield m
+            if m.re is _ASSIGNED or names_credential(m.group("key")):
+                yield m
 
 
 def _named(text: str) -> Iterator[Find]:
@@ -307,7 +351,7 @@ def _any(text: str) -> bool:
     todo, seen = [text], {text}
     while todo:
         t = todo.pop()
-        if any(True for _ in _strong(t, True)) or any(True for _ in _named(t)):
+        if any(True for _ in _strong(t)) or any(True for _ in _named(t)):
             return True
         for _, inner in _decoded(t):
             if inner is None:
@@ -332,7 +376,7 @@ def finds(text: str) -> list[Find]:
     found: list[Find] = []
     low = text.lower()
     if any(h in low for h in _HINTS):
-        found += _strong(text, False)
+        found += _strong(text)
         found += _named(text)
     found += _hidden(text)
     found.sort(key=lambda f: (f[0], -f[1]))

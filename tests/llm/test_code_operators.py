@@ -295,6 +295,56 @@ def test_key_containers_by_their_grammar():
         assert not secrets.finds(secrets.redact(text))
 
 
+def container(kind, rng):
+    algorithm = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, rng.randbytes(0)))
+    plain = der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2b6570"))) + der(4, der(4, rng.randbytes(32))))
+    return {
+        "openssh": b"openssh-key-v1\0" + rng.randbytes(180),
+        "encrypted PKCS#8": der(0x30, algorithm + der(4, rng.randbytes(120))),
+        "PKCS#12": der(0x30, der(2, b"\3") + der(0x30, der(6, bytes.fromhex("2a864886f70d010701")) + der(0xA0, der(4, rng.randbytes(100)))) + der(0x30, der(4, rng.randbytes(20)))),
+        "DSA": der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1]) + rng.randbytes(20)) for _ in range(5))),
+        "many primes": der(0x30, der(2, b"\1") + b"".join(der(2, bytes([1]) + rng.randbytes(20)) for _ in range(14))),
+        "in a bag": der(0x30, der(6, b"\x2a\x03") + der(0xA0, der(4, plain))),
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["openssh", "encrypted PKCS#8", "PKCS#12", "DSA", "many primes", "in a bag"])
+def test_every_container_of_private_keys_is_read(kind):
+    data = container(kind, random.Random(5))
+    for literal in (base64.b64encode(data).decode(), data.hex(), base64.b64encode(base64.b64encode(data)).decode()):
+        text = f'blob = "{literal}"\n'
+        assert secrets.finds(text), literal
+        assert not secrets.finds(secrets.redact(text))
+
+
+def test_other_containers_are_no_finds():
+    rng = random.Random(6)
+    certificate = der(0x30, der(0x30, der(0xA0, der(2, b"\2")) + der(2, rng.randbytes(9)) + der(0x30, der(6, b"\x2a\x86"))) + der(0x30, der(6, b"\x2a\x86")) + der(3, b"\0" + rng.randbytes(80)))
+    signature = der(0x30, der(2, rng.randbytes(32)) + der(2, rng.randbytes(32)))
+    for data in (certificate, signature, rng.randbytes(100)):
+        assert secrets.finds(f'blob = "{base64.b64encode(data).decode()}"') == []
+
+
+@pytest.mark.parametrize("codec", ["utf-16", "utf-16-le", "utf-16-be", "utf-8"])
+def test_texts_in_other_encodings_are_opened(codec):
+    inner = f"password = '{token(RNG, 24)}'".encode(codec)
+    assert secrets.finds(f'blob = "{base64.b64encode(inner).decode()}"')
+
+
+def test_options_and_addresses():
+    for line in ('set_option(OPT_PASSWORD, "Theme+symbol2948!");', 'curl_easy_setopt(h, CURLOPT_PASSWORD,\n  "9HVciYgpIW3SW5uHCjTz");', "//registry.hunk.example/:_authToken=Lease_offset2860!", 'x = "amqp://probe:xgecHvfnbTlDaZ@host.example:7216/f"', 'pwdparser: "Backoff!cursor4595"'):
+        found = secrets.finds(line)
+        assert len(found) == 1 and not secrets.finds(secrets.redact(line)), line
+    for line in ("dsn = postgres://User:Password@localhost/app", "dsn = postgres://user:myPassWord@localhost/app", 'get(token, "overlay58")', 'f(TOKEN_KIND, "theme")', "OLDPWD=/home/a1b2c3"):
+        assert secrets.finds(line) == [], line
+
+
+def test_long_key_blocks_are_read_to_their_end():
+    text = "-----BEGIN PRIVATE KEY-----\n" + "ab" * 15_000 + token(RNG, 4000) + "\n-----END PRIVATE KEY-----\n"
+    assert [f[2] for f in secrets.finds(text)] == ["private key"]
+    assert not secrets.finds("-----BEGIN PRIVATE KEY-----\n" * 3000 + "-----END PRIVATE KEY-----")
+
+
 def test_redaction_keeps_files_valid(tiny):
     import pyarrow.parquet as pq
 
