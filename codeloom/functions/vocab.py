@@ -36,9 +36,21 @@ def parse_source_kinds(spec: str) -> list[str]:
 
 
 def parse_edge_kind(name: str) -> str:
-    if name not in EDGE_KINDS:
+    """An edge kind in any case, with blanks around it and underscores for hyphens."""
+    kind = name.strip().lower().replace("_", "-")
+    if kind not in EDGE_KINDS:
         raise ValueError(f"unknown edge kind: {name}")
-    return name
+    return kind
+
+
+EXPORT_FORMATS = ["json", "dot", "mermaid"]
+
+
+def parse_export_format(name: str) -> str:
+    form = name.strip().lower()
+    if form not in EXPORT_FORMATS:
+        raise ValueError(f"unknown export format: {name}")
+    return form
 
 
 def normalise(name: str, names: list[str], default: str = "unknown") -> str:

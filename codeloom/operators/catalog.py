@@ -70,6 +70,11 @@ def orphan_points(datapoints: DataFrame, files: DataFrame) -> DataFrame:
     return owned.join(files.select(*FILE_KEY).distinct(), FILE_KEY, "left_anti").drop("relative_path")
 
 
+def absent(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (with the file key) whose file the catalog does not hold."""
+    return rows.join(files.select(*FILE_KEY).distinct(), FILE_KEY, "left_anti")
+
+
 def replace(old: DataFrame, new: DataFrame, removed: DataFrame, key: list[str]) -> DataFrame:
     """The next snapshot: old rows of untouched keys, and all new rows."""
     touched = new.select(*key).unionByName(removed.select(*key)).distinct()

@@ -6,10 +6,13 @@ term, so a batch of tasks is one join and not one scan a task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import ascii_lower
+from codeloom.session import materialize
 
 SYMBOL = ["repo_id", "id", "name", "qualified_name", "kind", "file_path", "start_line", "end_line", "signature", "fingerprint"]
 
@@ -50,16 +53,45 @@ def term_lists(terms: DataFrame, value: Column, size: int = 500) -> DataFrame:
     return terms.join(n, "repo_id").groupBy("repo_id", part.alias("part")).agg(F.collect_set(value).alias("terms"))
 
 
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of so many characters of a text. Its letters are bound once, as the only element of an array."""
+    runs = lambda c, n: F.transform(
+        F.filter(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: i <= F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)])
+    )
+    return F.transform(F.array(F.split(text, "")), lambda c: F.array_distinct(F.concat(*[c if n == 1 else runs(c, n) for n in sizes])))[0]
+
+
+def holding(texts: DataFrame, hay: list[Column], terms: DataFrame, key: list[str], fold: Callable[[Column], Column]) -> DataFrame:
+    """Rows of ``texts`` with each ``term`` of their repository that one of the columns ``hay`` holds (already folded).
+
+    A term is looked up by the rarest of its runs of three characters (fewer if it is shorter): texts and terms meet in equi-joins on
+    (repository, run), and only those that share the rarest run are compared. Only runs that some term has leave the scan. ``key``: columns that tell rows
+    apart, ``repo_id`` among them. Empty and null terms find nothing.
+    """
+    t = terms.filter("term <> ''").select("repo_id", "term").distinct().withColumn("_low", fold(F.col("term")))
+    size = F.char_length("_low")
+    own = F.when(size >= 3, _grams(F.col("_low"), [3])).otherwise(F.array("_low"))
+    asked = t.select("repo_id", "term", "_low", F.explode(own).alias("_gram"))
+    every = F.array_distinct(F.concat(*[_grams(F.coalesce(h, F.lit("")), [1, 2, 3]) for h in hay]))
+    x = texts.select(*key, F.explode(every).alias("_gram"))
+    hits = materialize(x.join(asked.select("repo_id", "_gram").distinct(), ["repo_id", "_gram"], "left_semi").distinct(), "grams")
+    often = hits.groupBy("repo_id", "_gram").agg(F.count("*").alias("_n"))
+    best = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("b")
+    rare = asked.join(often, ["repo_id", "_gram"], "left").groupBy("repo_id", "term", "_low").agg(best).filter("b.n > 0")
+    pairs = rare.select("repo_id", "term", "_low", F.col("b._gram").alias("_gram")).join(hits, ["repo_id", "_gram"]).drop("_gram")
+    held = F.lit(False)
+    for h in hay:
+        held = held | F.coalesce(F.contains(h, F.col("_low")), F.lit(False))
+    return texts.join(pairs, key).filter(held).drop("_low")
+
+
 def partial(symbols: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
     """The first ``limit`` symbols per term, by file and line, whose name or qualified name holds the term.
 
-    ASCII case is ignored. A repository's terms are short lists, so no pair of a symbol and another
-    repository's term is formed. Empty terms find nothing.
+    ASCII case is ignored; the lookup goes by ``holding``. Empty terms find nothing.
     """
-    per_repo = term_lists(terms.filter("term <> ''").select("repo_id", "term").distinct(), F.col("term")).select("repo_id", "terms")
-    hay = F.array(ascii_lower(F.col("name")), ascii_lower(F.col("qualified_name")))
-    hit = F.filter("terms", lambda x: F.exists(hay, lambda h: h.contains(ascii_lower(x))))
-    found = symbols.join(per_repo, "repo_id").select(*symbols.columns, F.explode(hit).alias("term"))
+    low = [ascii_lower(F.col("name")), ascii_lower(F.col("qualified_name"))]
+    found = holding(symbols, low, terms, ["repo_id", "id"], ascii_lower)
     w = Window.partitionBy("repo_id", "term").orderBy("file_path", "start_line", "id", *[c for c in symbols.columns if c not in ("repo_id", "file_path", "start_line", "id")])
     return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
 

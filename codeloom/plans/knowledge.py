@@ -132,14 +132,17 @@ def _recent(spark, folder):
 
 @R.query(
     "commit_links",
-    f"""SELECT DISTINCT d.repo_id, 'dataset:' || d.repo_id || ':default' AS dataset_id, 'commit:dataset:' || d.repo_id || ':default:' || doc_id AS src_id,
-      'file:dataset:' || d.repo_id || ':default:' || d.path AS dst_id, 'touched-in-commit' AS kind FROM documents d
-    JOIN ({_LATEST}) f ON f.repo_id = d.repo_id AND f.relative_path = d.path WHERE doc_kind = 'commit_message'""",
+    """WITH d AS (SELECT DISTINCT repo_id, commit_id, CASE WHEN kind = 'chunk' THEN regexp_replace(path, '#[0-9]+-[0-9]+$', '') ELSE path END AS path FROM datapoints WHERE commit_id IS NOT NULL)
+    SELECT DISTINCT d.repo_id, 'dataset:' || d.repo_id || ':default' AS dataset_id, 'commit:dataset:' || d.repo_id || ':default:' || commit_id AS src_id,
+      'file:dataset:' || d.repo_id || ':default:' || d.path AS dst_id, 'touched-in-commit' AS kind FROM d
+    WHERE EXISTS (SELECT 1 FROM datapoints f WHERE f.kind = 'file' AND f.repo_id = d.repo_id AND f.path = d.path)""",
 )
 def commit_links(spark, folder):
-    """Edges from commits to the files that they touched."""
-    c = _commits(spark, folder)
-    return graph.commit_links(c, c.select("repo_id", "commit_id", "path"), catalog.latest(table(spark, folder, "files"))).drop("payload")
+    """Edges from the commits that datapoints name to the recorded files of their paths."""
+    d = table(spark, folder, "datapoints")
+    touched = d.filter("commit_id IS NOT NULL").select("repo_id", "commit_id", ids.chunk_owner(F.col("kind"), F.col("path")).alias("path"))
+    recorded = d.filter("kind = 'file'").select("repo_id", F.col("path").alias("relative_path"))
+    return graph.commit_links(touched, touched, recorded).drop("payload")
 
 
 @R.query(
@@ -192,34 +195,51 @@ def graph_without_names(spark, folder):
     return graph.delete_nodes(nodes, edges, members, gone)[1].select("src_id", "dst_id", "kind")
 
 
-# ---- evidence: a deleted symbol is what a claim once cited, the live ones are what there is now
+# ---- evidence: what a claim would have cited before symbols were deleted and files changed, against what there is now
 
 
 def _evidence(spark, folder):
-    s = table(spark, folder, "symbols").filter("deleted_at IS NOT NULL")
-    key = F.concat_ws("|", "repo_id", "id", "fingerprint")
-    return s.select(key.alias("memory_id"), "repo_id", F.col("file_path").alias("file"), F.array("name").alias("symbols"), "fingerprint").distinct()
+    """(memory_id, repo_id, file, symbols, fingerprint, status): claims on one symbol, on all names of a file by one old hash, on whole files,
+    and such without a baseline, every other of them stale before."""
+    s, f = table(spark, folder, "symbols"), table(spark, folder, "files")
+    none, fresh = F.array().cast("array<string>"), F.lit("fresh").alias("status")
+    one = s.filter("deleted_at IS NOT NULL").select(
+        F.concat_ws("|", F.lit("one"), "repo_id", "id", "fingerprint").alias("memory_id"), "repo_id", F.col("file_path").alias("file"), F.array("name").alias("symbols"), "fingerprint", fresh
+    )
+    per = s.groupBy("repo_id", F.col("file_path").alias("file")).agg(F.array_sort(F.collect_set("name")).alias("symbols"), F.min("fingerprint").alias("fingerprint"))
+    many = per.select(F.concat_ws("|", F.lit("all"), "repo_id", "file").alias("memory_id"), "repo_id", "file", "symbols", "fingerprint", fresh)
+    first = f.groupBy("repo_id", F.col("relative_path").alias("file")).agg(F.min("file_hash").alias("h"))
+    whole = first.select(F.concat_ws("|", F.lit("file"), "repo_id", "file").alias("memory_id"), "repo_id", "file", none.alias("symbols"), F.concat(F.lit(memory.FILE_BASELINE), "h").alias("fingerprint"), fresh)
+    was = F.when(F.length("file") % 2 == 0, "stale").otherwise("fresh").alias("status")
+    bare = first.select(F.concat_ws("|", F.lit("open"), "repo_id", "file").alias("memory_id"), "repo_id", "file", none.alias("symbols"), F.lit(None).cast("string").alias("fingerprint"), was)
+    return one.distinct().unionByName(many).unionByName(whole).unionByName(bare)
 
 
 def _judged(spark, folder):
     e = _evidence(spark, folder)
-    m = e.select("memory_id").distinct().withColumn("status", F.lit("fresh")).withColumn("confidence", F.lit(1.0))
-    return memory.staleness(m, e, _live(spark, folder), catalog.latest(table(spark, folder, "files")))
+    m = e.select("memory_id", "status").distinct().withColumn("confidence", F.lit(1.0))
+    return memory.staleness(m, e.drop("status"), _live(spark, folder), catalog.latest(table(spark, folder, "files")))
 
 
-_JUDGED = f"""{_LIVE}, e AS (SELECT DISTINCT concat_ws('|', repo_id, id, fingerprint) AS memory_id, repo_id, file_path, name, fingerprint FROM symbols WHERE deleted_at IS NOT NULL),
+_JUDGED = f"""{_LIVE}, fh AS ({_LATEST}), firsts AS (SELECT repo_id, relative_path, min(file_hash) AS h FROM files GROUP BY 1, 2),
+  e AS (SELECT DISTINCT concat_ws('|', 'one', repo_id, id, fingerprint) AS memory_id, repo_id, file_path, [name] AS names, fingerprint AS fp, 'fresh' AS was FROM symbols WHERE deleted_at IS NOT NULL
+    UNION ALL SELECT concat_ws('|', 'all', repo_id, file_path), repo_id, file_path, list(DISTINCT name), min(fingerprint), 'fresh' FROM symbols GROUP BY repo_id, file_path
+    UNION ALL SELECT concat_ws('|', 'file', repo_id, relative_path), repo_id, relative_path, [], 'file-v1:' || h, 'fresh' FROM firsts
+    UNION ALL SELECT concat_ws('|', 'open', repo_id, relative_path), repo_id, relative_path, [], NULL, CASE WHEN length(relative_path) % 2 = 0 THEN 'stale' ELSE 'fresh' END FROM firsts),
   nm AS (SELECT repo_id, file_path, name, fingerprint FROM live UNION SELECT repo_id, file_path, qualified_name, fingerprint FROM live),
-  j AS (SELECT memory_id, bool_or(NOT EXISTS (SELECT 1 FROM files f WHERE f.repo_id = e.repo_id AND f.relative_path = e.file_path)
-      OR NOT EXISTS (SELECT 1 FROM nm WHERE nm.repo_id = e.repo_id AND nm.file_path = e.file_path AND nm.name = e.name)) AS gone,
-    bool_or(NOT EXISTS (SELECT 1 FROM nm WHERE nm.repo_id = e.repo_id AND nm.file_path = e.file_path AND nm.name = e.name AND nm.fingerprint = e.fingerprint)) AS differs
-    FROM e GROUP BY 1),
-  judged AS (SELECT memory_id, CASE WHEN gone THEN 'stale' WHEN differs THEN 'degraded' ELSE 'fresh' END AS status,
-    CASE WHEN gone THEN 0.0 WHEN differs THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM j)"""
+  q AS (SELECT memory_id, n.name, bool_or(nm.name IS NOT NULL) AS there, bool_or(coalesce(nm.fingerprint = n.fp, false)) AS held
+    FROM (SELECT memory_id, repo_id, file_path, fp, unnest(names) AS name FROM e) n LEFT JOIN nm ON nm.repo_id = n.repo_id AND nm.file_path = n.file_path AND nm.name = n.name GROUP BY 1, 2),
+  r AS (SELECT memory_id, bool_or(NOT there) AS missing, bool_and(held) AS held FROM q GROUP BY 1),
+  j AS (SELECT e.memory_id, was, f.file_hash IS NULL OR coalesce(missing, false) AS gone, fp IS NULL AS open,
+    fp IS NULL OR CASE WHEN len(names) > 0 THEN NOT coalesce(held, false) ELSE fp <> 'file-v1:' || f.file_hash END AS differs
+    FROM e LEFT JOIN fh f ON f.repo_id = e.repo_id AND f.relative_path = e.file_path LEFT JOIN r USING (memory_id)),
+  judged AS (SELECT memory_id, CASE WHEN gone OR (differs AND open AND was = 'stale') THEN 'stale' WHEN differs THEN 'degraded' ELSE 'fresh' END AS status,
+    CASE WHEN gone OR (differs AND open AND was = 'stale') THEN 0.0 WHEN differs THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM j)"""
 
 
 @R.query("memory_staleness", f"WITH {_JUDGED} SELECT * FROM judged")
 def memory_staleness(spark, folder):
-    """How fresh a claim on every symbol that was once deleted would be."""
+    """How fresh claims on deleted symbols, on all names of a file, on whole files and without a baseline would be."""
     return _judged(spark, folder)
 
 
@@ -342,7 +362,7 @@ def _task_claims(spark, folder, b, signals):
     )
     none = F.array().cast("array<string>")
     e = m.filter("file IS NOT NULL").select("memory_id", "repo_id", "file", none.alias("symbols"), F.lit(None).cast("string").alias("fingerprint"))
-    judged = memory.staleness(m.select("memory_id", "status", "confidence"), e, _live(spark, folder), catalog.latest(table(spark, folder, "files")))
+    judged = memory.verify(m.select("memory_id", "status", "confidence"), e, _live(spark, folder), catalog.latest(table(spark, folder, "files")))
     m = materialize(m.drop("status", "confidence").join(judged, "memory_id"), "claims")
     e = m.filter("file IS NOT NULL").select("memory_id", "repo_id", "file", none.alias("symbols"))
     scored = signals.select("task_id", "file").join(b.select("task_id", "repo_id").distinct(), "task_id").select("task_id", "repo_id", "file").distinct()

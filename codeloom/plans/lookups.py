@@ -45,7 +45,10 @@ def file_stats(spark, folder):
     )
 
 
-_OLDEST = _LATEST.replace("indexed_at DESC", "indexed_at")
+def _before(files):
+    """What the catalog knew at the middle of its time."""
+    s = files.agg(F.min("indexed_at").alias("a"), F.max("indexed_at").alias("b")).first()
+    return files.filter(F.col("indexed_at") <= F.lit(s["a"] + (s["b"] - s["a"]) / 2)) if s["a"] else files
 
 
 @R.query(
@@ -61,10 +64,8 @@ _OLDEST = _LATEST.replace("indexed_at DESC", "indexed_at")
 def catalog_diff(spark, folder):
     """What changed between the catalog at the middle of its time and now."""
     f = table(spark, folder, "files")
-    s = f.agg(F.min("indexed_at").alias("a"), F.max("indexed_at").alias("b")).first()
-    before = f.filter(F.col("indexed_at") <= F.lit(s["a"] + (s["b"] - s["a"]) / 2)) if s["a"] else f
     gaps = catalog.missing_identity(table(spark, folder, "symbol_references"))
-    return catalog.diff(catalog.latest(before), catalog.latest(f), gaps)
+    return catalog.diff(catalog.latest(_before(f)), catalog.latest(f), gaps)
 
 
 @R.query(
@@ -90,13 +91,14 @@ def orphan_points(spark, folder):
 
 @R.query(
     "absent_symbols",
-    """SELECT DISTINCT repo_id, id FROM symbols s WHERE deleted_at IS NULL
-    AND NOT EXISTS (SELECT 1 FROM files f WHERE f.repo_id = s.repo_id AND f.relative_path = s.file_path)""",
+    """WITH cut AS (SELECT to_timestamp((epoch(min(indexed_at)) + epoch(max(indexed_at))) / 2) AS t FROM files)
+    SELECT DISTINCT repo_id, id FROM symbols s WHERE deleted_at IS NULL
+    AND NOT EXISTS (SELECT 1 FROM files f, cut WHERE f.repo_id = s.repo_id AND f.relative_path = s.file_path AND f.indexed_at <= cut.t)""",
 )
 def absent_symbols(spark, folder):
-    """Symbols of files that the catalog does not hold."""
+    """Symbols of files that the catalog did not hold at the middle of its time."""
     s = symbols.live(table(spark, folder, "symbols")).select("repo_id", "id", F.col("file_path").alias("relative_path"))
-    return s.join(table(spark, folder, "files").select(*catalog.FILE_KEY).distinct(), catalog.FILE_KEY, "left_anti").select("repo_id", "id").distinct()
+    return catalog.absent(s, _before(table(spark, folder, "files"))).select("repo_id", "id").distinct()
 
 
 # ---- symbols

@@ -60,7 +60,7 @@ def recent_commits(spark: SparkSession, root: str, limit: int = 20) -> DataFrame
 def touched_paths(spark: SparkSession, root: str, limit: int = 20) -> DataFrame:
     """(commit_id, path) of the newest commits, each against its first parent; a root commit against nothing."""
     try:
-        out = _git(root, "log", f"-{limit}", "--first-parent", "-m", "--root", "--name-only", "--no-renames", "-z", "--format=%x1e%H%x1f")
+        out = _git(root, "log", f"-{limit}", "--diff-merges=first-parent", "--root", "--name-only", "--no-renames", "-z", "--format=%x1e%H%x1f")
     except RuntimeError:
         out = ""
     rows = []
@@ -93,12 +93,39 @@ HUNKS = (
 )
 
 
+def _unquote(name: str) -> str:
+    """A path as Git writes it: names with quotes, backslashes or control characters stand in quotes, escaped."""
+    if not (len(name) >= 2 and name[0] == name[-1] == '"'):
+        return name
+    plain = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, '"': 34, "\\": 92}
+    out, body, i = bytearray(), name[1:-1], 0
+    while i < len(body):
+        if body[i] == "\\":
+            if body[i + 1] in plain:
+                out.append(plain[body[i + 1]])
+                i += 2
+            else:
+                out.append(int(body[i + 1 : i + 4], 8))
+                i += 4
+        else:
+            out += body[i].encode()
+            i += 1
+    return out.decode(errors="replace")
+
+
+def _path_of(line: str) -> str:
+    """The path of a ``diff --git`` line without renames: both halves name it, so its middle tells them apart."""
+    both = line[len("diff --git ") :]
+    half = len(both) // 2
+    return _unquote(both[half + 1 :].replace("b/", "", 1))
+
+
 def diff_hunks(spark: SparkSession, root: str) -> DataFrame:
     """Changed ranges of tracked files against HEAD."""
     rows: list[list] = []
     for line in _git(root, "diff", "HEAD", "--no-color", "-U0", "--no-renames", "--no-ext-diff").splitlines():
         if line.startswith("diff --git "):
-            rows.append([line.rsplit(" b/", 1)[-1], False, False, []])
+            rows.append([_path_of(line), False, False, []])
         elif line.startswith("new file"):
             rows[-1][2] = True
         elif line.startswith("deleted file"):

@@ -190,13 +190,109 @@ def test_staleness(spark):
         ev,
     )
     m = spark.createDataFrame([(k, "invalidated" if k == "inv" else "fresh", 0.3) for k in ("two", "doc", "old", "bad", "gone", "inv", "none", "bare")], "memory_id string, status string, confidence double")
-    got = {r.memory_id: (r.status, r.confidence) for r in memory.staleness(m, e, sym, files).collect()}
+    got = {r.memory_id: (r.status, r.confidence) for r in memory.verify(m, e, sym, files).collect()}
     assert got == {
         "two": ("fresh", 1.0), "doc": ("degraded", 0.7), "old": ("fresh", 1.0), "bad": ("degraded", 0.7), "gone": ("stale", 0.0),
         "inv": ("invalidated", 0.3), "none": ("fresh", 1.0), "bare": ("fresh", 1.0),
     }
 
 
+EV = "memory_id string, repo_id string, file string, symbols array<string>, fingerprint string"
+SYM = "repo_id string, file_path string, name string, qualified_name string, fingerprint string"
+
+
+def test_rules_of_several_symbols_and_other_files(spark):
+    sym = spark.createDataFrame([("r", "a.rs", "x", "a.rs::x", "h1"), ("r", "a.rs", "y", "a.rs::y", "h2"), ("r", "a.rs", "y", "a.rs::y", "h1")], SYM)
+    files = spark.createDataFrame([("r", "a.rs", "f1"), ("r", "notes.md", "f2")], "repo_id string, relative_path string, file_hash string")
+    rows = [
+        ("every", "r", "a.rs", ["x", "y"], "h1"), ("one of two", "r", "a.rs", ["x", "y"], "h2"), ("qualified", "r", "a.rs", ["a.rs::x"], "h1"),
+        ("doc", "r", "notes.md", ["anything"], "file-v1:f2"), ("doc old", "r", "notes.md", ["anything"], "h9"), ("doc changed", "r", "notes.md", ["z"], "file-v1:f0"),
+        ("lost", "r", "a.rs", ["x", "nope"], "h1"), ("open", "r", "a.rs", ["x"], None), ("open stale", "r", "a.rs", ["x"], None),
+    ]
+    e = spark.createDataFrame(rows, EV)
+    m = spark.createDataFrame([(r[0], "stale" if r[0] == "open stale" else "fresh", 1.0) for r in rows], "memory_id string, status string, confidence double")
+    want = {"every": "fresh", "one of two": "degraded", "qualified": "fresh", "doc": "fresh", "doc old": "fresh", "doc changed": "degraded", "lost": "stale"}
+    got = {r.memory_id: r.status for r in memory.staleness(m, e, sym, files).collect()}
+    assert got == want | {"open": "degraded", "open stale": "stale"}
+    got = {r.memory_id: r.status for r in memory.verify(m, e, sym, files).collect()}
+    assert got == want | {"open": "fresh", "open stale": "fresh"}
+    claims, evidence = memory.anchor(m, e, sym, files, head="abc")
+    assert {r.memory_id: r.valid_at for r in claims.collect()} == {k: "abc" if v == "fresh" else None for k, v in (want | {"open": "fresh", "open stale": "fresh"}).items()}
+    filled = {r.memory_id: r.fingerprint for r in evidence.collect()}
+    assert filled["open"].startswith("symbols-v1:") and filled["doc old"] == "h9"
+    assert memory.get(m, "doc").count() == 1 and memory.get(m, "none").count() == 0
+
+
+def test_baselines_come_back_from_the_cited_commit(spark):
+    now = spark.createDataFrame([("r", "a.rs", "x", "a.rs::x", "new"), ("r", "a.rs", "y", "a.rs::y", "same")], SYM)
+    files = spark.createDataFrame([("r", "a.rs", "f1")], "repo_id string, relative_path string, file_hash string")
+    then = spark.createDataFrame([("r", "a.rs", "x", "a.rs::x", "old", "c1"), ("r", "a.rs", "y", "a.rs::y", "same", "c1")], SYM + ", commit string")
+    then_files = spark.createDataFrame([("r", "a.rs", "f0", "c1")], "repo_id string, relative_path string, file_hash string, commit string")
+    rows = [("changed", "r", "a.rs", ["x"], None, "c1"), ("kept", "r", "a.rs", ["y"], None, "c1"), ("no commit", "r", "a.rs", ["y"], None, "c9"), ("has one", "r", "a.rs", ["y"], "same", "c1")]
+    e = memory.recover(spark.createDataFrame(rows, EV + ", commit string"), then, then_files)
+    m = spark.createDataFrame([(r[0], "fresh", 1.0) for r in rows], "memory_id string, status string, confidence double")
+    got = {r.memory_id: r.status for r in memory.staleness(m, e, now, files).collect()}
+    assert got == {"changed": "degraded", "kept": "fresh", "no commit": "degraded", "has one": "fresh"}
+
+
+def test_lookup_of_parts_equals_brute_force(spark):
+    import random
+
+    from codeloom.operators import symbols
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abAB_é") for _ in range(n))
+    rows = [(rng.choice("rq"), f"s{k}", word(rng.randrange(0, 6)) if k % 9 else None, f"src/{word(3)}.rs::{word(4)}") for k in range(200)]
+    rows += [(a, b, c, "long" * 20_000 + d) for a, b, c, d in rows[:2]]
+    terms = [(r, word(n)) for r in "rqz" for n in (0, 1, 2, 3, 4, 7) for _ in range(3)] + [("r", None), ("r", "src/"), ("q", "LONGlong")]
+    s = spark.createDataFrame(rows, "repo_id string, id string, name string, qualified_name string")
+    fold = symbols.ascii_lower
+    got = symbols.holding(s, [fold(F.col("name")), fold(F.col("qualified_name"))], spark.createDataFrame(terms, "repo_id string, term string"), ["repo_id", "id"], fold)
+    low = lambda x: "".join(c.lower() if c.isascii() else c for c in x or "")
+    want = {(r[0], r[1], r[3], t) for r in rows for q, t in terms if t and q == r[0] and (low(t) in low(r[2]) or low(t) in low(r[3]))}
+    out = got.collect()
+    assert {(r.repo_id, r.id, r.qualified_name, r.term) for r in out} == want and len(out) == len(want)
+
+
+def test_edge_kinds_and_formats():
+    from codeloom.functions import vocab
+
+    assert vocab.parse_edge_kind(" Touched_In_Commit ") == "touched-in-commit" and vocab.parse_export_format("DOT ") == "dot"
+    for f in (vocab.parse_edge_kind, vocab.parse_export_format):
+        with pytest.raises(ValueError):
+            f("svg")
+
+
+def test_merged_branches_and_odd_names(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@e", *a], check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    odd = 'x b/q"é.rs'
+    for name, branch in (("a.rs", "main"), (odd, "side"), ("c.rs", "main")):
+        if branch == "side":
+            run("checkout", "-qb", "side")
+        else:
+            subprocess.run(["git", "-C", str(tmp_path), "checkout", "-q", "main"], capture_output=True)
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("fn f() {}\n")
+        run("add", ".")
+        run("commit", "-qm", f"adds {len(name)}")
+    run("merge", "-q", "--no-ff", "-m", "merge", "side")
+    commits = {r.commit_id: r.summary for r in git.recent_commits(spark, str(tmp_path)).collect()}
+    touched = {(commits[r.commit_id], r.path) for r in git.touched_paths(spark, str(tmp_path)).collect()}
+    assert touched == {("adds 4", "a.rs"), (f"adds {len(odd)}", odd), ("adds 4", "c.rs"), ("merge", odd)}
+    (tmp_path / odd).write_text("changed\n")
+    assert [r.file_path for r in git.diff_hunks(spark, str(tmp_path)).collect()] == [odd]
+
+
+def test_late_scans_do_not_win(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/db")
+    at = lambda d: spark.sql(f"select timestamp'2025-01-{d:02d}'").first()[0]
+    batch = lambda *rows: spark.createDataFrame([("r", p, h, at(d), gone) for p, h, d, gone in rows], FILES)
+    sync.apply_batch(s, batch(("a", "new", 5, False), ("b", "1", 5, False)), 0)
+    assert sync.apply_batch(s, batch(("a", "old", 3, False), ("b", "1", 4, True)), 1) == 0
+    assert {(r.relative_path, r.file_hash) for r in s.read("files").collect()} == {("a", "new"), ("b", "1")}
+
+
 def test_insert_or_ignore(spark):
     old = spark.createDataFrame([("a", 1)], "k string, v int")
     new = spark.createDataFrame([("a", 2), ("b", 3), ("b", 4)], "k string, v int")
