@@ -18,7 +18,7 @@ from codeloom.functions import text
 DIRTY, EXACT, PARTIAL, CALLER, CALLEE, TEST, MEMORY = 8.0, 10.0, 7.0, 5.0, 4.0, 6.0, 4.0
 SEARCH_TOP, SEARCH_STEP, SEARCH_LEAST = 6.0, 0.3, 4.0
 FILES, SYMBOLS, DEPENDENCIES, TESTS, PARTIAL_LIMIT = 15, 12, 10, 8, 25
-BEFORE, AFTER, WHOLE_LINES, LEAST_LEFT = 5, 10, 80, 100
+BEFORE, AFTER, WHOLE_LINES, LEAST_LEFT, SIGNATURE_TOKENS = 5, 10, 80, 100, 64
 
 
 def symbol_matches(exact: DataFrame, partial: DataFrame, terms: DataFrame, dirty: DataFrame) -> DataFrame:
@@ -48,23 +48,24 @@ def file_signals(matches: DataFrame, deps: DataFrame, tests: DataFrame, dirty: D
     name, as in the reference. ``hits`` is (task_id, file, idx) from the text search.
     """
     q = F.lit("'")
-    defined = matches.select("task_id", F.col("file_path").alias("file"), "score", F.concat(F.lit("defines symbol '"), "name", q).alias("reason"))
+    one = F.lit(1).cast("bigint").alias("times")
+    defined = matches.select("task_id", F.col("file_path").alias("file"), "score", F.concat(F.lit("defines symbol '"), "name", q).alias("reason"), one)
     # one row a name with its multiplicity; the signals of a name are expanded only in the sums
     names = matches.groupBy("task_id", "repo_id", "name").agg(F.count("*").alias("times"))
     callers = deps.filter("role = 'caller'").join(names, ["repo_id", "name"]).select(
         "task_id", F.col("source_file").alias("file"), (F.lit(CALLER) * F.col("times")).alias("score"),
-        F.concat(F.lit("calls '"), "name", F.lit("' from '"), F.coalesce("source_symbol_name", F.lit("<top-level>")), q).alias("reason"),
+        F.concat(F.lit("calls '"), "name", F.lit("' from '"), F.coalesce("source_symbol_name", F.lit("<top-level>")), q).alias("reason"), "times",
     )
     callees = deps.filter("role = 'callee'").join(names, ["repo_id", "name"]).select(
-        "task_id", F.col("source_file").alias("file"), (F.lit(CALLEE) * F.col("times")).alias("score"), F.concat(F.lit("called by '"), "name", q).alias("reason")
+        "task_id", F.col("source_file").alias("file"), (F.lit(CALLEE) * F.col("times")).alias("score"), F.concat(F.lit("called by '"), "name", q).alias("reason"), "times"
     )
     tested = tests.join(names, ["repo_id", "name"]).select(
-        "task_id", F.col("source_file").alias("file"), (F.lit(TEST) * F.col("times")).alias("score"), F.concat(F.lit("tests symbol '"), "name", q).alias("reason")
+        "task_id", F.col("source_file").alias("file"), (F.lit(TEST) * F.col("times")).alias("score"), F.concat(F.lit("tests symbol '"), "name", q).alias("reason"), "times"
     )
-    out = defined.unionByName(callers).unionByName(callees).unionByName(tested).unionByName(dirty)
+    out = defined.unionByName(callers).unionByName(callees).unionByName(tested).unionByName(dirty.withColumn("times", one))
     if hits is not None:
         boost = F.lit(SEARCH_TOP) - F.least(F.col("idx") * SEARCH_STEP, F.lit(SEARCH_LEAST))
-        out = out.unionByName(hits.select("task_id", "file", boost.alias("score"), F.concat(F.lit("BM25 search match (rank #"), (F.col("idx") + 1).cast("string"), F.lit(")")).alias("reason")))
+        out = out.unionByName(hits.select("task_id", "file", boost.alias("score"), F.concat(F.lit("BM25 search match (rank #"), (F.col("idx") + 1).cast("string"), F.lit(")")).alias("reason"), one))
     if memories is not None:
         out = out.unionByName(memory_signal(memories))
     return out
@@ -72,7 +73,7 @@ def file_signals(matches: DataFrame, deps: DataFrame, tests: DataFrame, dirty: D
 
 def memory_signal(memories: DataFrame) -> DataFrame:
     """Every file that a fresh claim cites: ``memories`` is (task_id, file, memory_id)."""
-    return memories.select("task_id", "file", F.lit(MEMORY).alias("score"), F.concat(F.lit("supported by memory '"), "memory_id", F.lit("'")).alias("reason"))
+    return memories.select("task_id", "file", F.lit(MEMORY).alias("score"), F.concat(F.lit("supported by memory '"), "memory_id", F.lit("'")).alias("reason"), F.lit(1).cast("bigint").alias("times"))
 
 
 def dirty_signal(tasks: DataFrame, dirty: DataFrame) -> DataFrame:
@@ -81,13 +82,17 @@ def dirty_signal(tasks: DataFrame, dirty: DataFrame) -> DataFrame:
     return tasks.select("task_id", "repo_id").distinct().join(d, "repo_id").select("task_id", "file", F.lit(DIRTY).alias("score"), F.lit("modified in working tree").alias("reason"))
 
 
-def file_scores(signals: DataFrame, limit: int | None = None) -> DataFrame:
-    """(task_id, file, score, reasons): the sum and the sorted reasons; ties by path; the best ``limit`` of a task."""
-    s = signals.groupBy("task_id", "file").agg(F.sum("score").alias("score"), F.sort_array(F.collect_set("reason")).alias("reasons"))
-    if limit is None:
-        return s
+def file_scores(signals: DataFrame) -> DataFrame:
+    """(task_id, file, score, reasons): the sum, and the sorted reasons, each with how often it holds."""
+    n = F.col("times") if "times" in signals.columns else F.lit(1)
+    each = signals.groupBy("task_id", "file", "reason").agg(F.sum("score").alias("score"), F.sum(n).cast("bigint").alias("n"))
+    return each.groupBy("task_id", "file").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct("reason", "n"))).alias("reasons"))
+
+
+def best_files(scores: DataFrame, limit: int = FILES) -> DataFrame:
+    """The files of a task with the highest scores, ranked; ties by path."""
     w = Window.partitionBy("task_id").orderBy(F.desc("score"), "file")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
 def excerpt(content: str, targets: list[int], room: int) -> str:
@@ -184,13 +189,20 @@ def enforce(package: dict, limit: int) -> dict:
     return out
 
 
+def _signature(symbol: dict) -> dict:
+    """A symbol's signature, masked and bounded, if it has one."""
+    return {"signature": text.bound_text(text.redact_text(symbol["signature"]), SIGNATURE_TOKENS)} if symbol.get("signature") is not None else {}
+
+
 def compile_package(
     task: str, limit: int, files: list[dict], symbols: list[dict], deps: list[dict], tests: list[dict], contents: dict[str, str],
     commits: list[dict] = (), verified: list[dict] = (), diagnostic: list[dict] = (), dirty: list[str] = (), claim_bytes: int | None = None,
+    candidates: int | None = None,
 ) -> dict:
     """One task's package from its ranked parts; whole short files while they fit, else excerpts.
 
-    ``claim_bytes`` is the length of all verified claims, where ``verified`` has only those that may fit.
+    ``claim_bytes`` is the length of all verified claims, where ``verified`` has only those that may fit; ``candidates`` the
+    number of all scored files, where ``files`` has only the best.
     """
     budget = Budget(limit)
     if claim_bytes is None:
@@ -214,9 +226,9 @@ def compile_package(
             budget.consume(text.tokens_of(piece))
         chosen.append({"path": f["path"], "score": f["score"], "reasons": f["reasons"], "snippet": piece})
     package = {
-        "task": text.redact_text(task), "files": chosen, "symbols": symbols[:SYMBOLS], "dependencies": deps[:DEPENDENCIES],
+        "task": text.redact_text(task), "files": chosen, "symbols": [{**s, **_signature(s)} for s in symbols[:SYMBOLS]], "dependencies": deps[:DEPENDENCIES],
         "tests": tests[:TESTS], "commits": list(commits), "verified": list(verified), "diagnostic": list(diagnostic), "dirty": list(dirty),
-        "budget": {"candidate_tokens": candidate, "returned_tokens": budget.used, "limit": limit, "candidate_files": len(files), "returned_files": len(chosen)},
+        "budget": {"candidate_tokens": candidate, "returned_tokens": budget.used, "limit": limit, "candidate_files": len(files) if candidates is None else candidates, "returned_files": len(chosen)},
     }
     return enforce(package, limit)
 
@@ -250,15 +262,17 @@ def packages(
 ) -> DataFrame:
     """(task_id, package, tokens, error): the JSON package of every task.
 
-    Only the contents of ranked files are joined; each task's lists are bounded before they are gathered.
+    ``scores`` has all scored files; only the contents of the best are read. Each task's lists are bounded before they are gathered.
     ``commits``: (repo_id, n, commit_id, summary, timestamp), few a repository; ``claims``: (task_id, at, memory_id,
     claim, status, confidence, files); ``dirty``: (repo_id, relative_path).
     """
-    top = scores.filter(F.col("rank") <= FILES)
-    text_of = contents.groupBy("repo_id", F.col("relative_path").alias("file")).agg(F.min("content").alias("content"))
-    withtext = top.join(tasks.select("task_id", "repo_id"), "task_id").join(text_of, ["repo_id", "file"], "left")
+    top = best_files(scores).join(tasks.select("task_id", "repo_id"), "task_id")
+    text_of = contents.withColumnRenamed("relative_path", "file").join(top.select("repo_id", "file").distinct(), ["repo_id", "file"], "left_semi")
+    text_of = text_of.groupBy("repo_id", "file").agg(F.min("content").alias("content"))
+    withtext = top.withColumn("reasons", F.flatten(F.transform("reasons", lambda r: F.array_repeat(r["reason"], r["n"].cast("int"))))).join(text_of, ["repo_id", "file"], "left")
+    counted = scores.groupBy("task_id").agg(F.count("*").alias("candidates"))
     f = withtext.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("file").alias("path"), "score", "reasons", "content"))).alias("files"))
-    s = symbols.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "name", "file_path", "start_line", "score"))).alias("symbols"))
+    s = symbols.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "name", "file_path", "start_line", "score", "signature"))).alias("symbols"))
     w = Window.partitionBy("task_id").orderBy("file_path", "line", "caller", "callee")
     d = deps.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= DEPENDENCIES)
     d = d.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("_n", "caller", "callee", "relationship", "file_path", "line"))).alias("deps"))
@@ -278,7 +292,7 @@ def packages(
     w = _fitting(tasks.select("task_id", "repo_id", "limit_tokens").join(w, "repo_id"), ["file"], "_size")
     w = w.groupBy("task_id").agg(F.sort_array(F.collect_list("file")).alias("dirty"))
     rows = tasks.select("task_id", "repo_id", "task_text", "limit_tokens").join(c, "repo_id", "left")
-    for part in (f, s, d, t, total, v, g, w):
+    for part in (f, counted, s, d, t, total, v, g, w):
         rows = rows.join(part, "task_id", "left")
     return rows.mapInPandas(_compile_rows, "task_id bigint, package string, tokens bigint, error string")
 
@@ -304,6 +318,7 @@ def _compile_rows(batches):
                 p = compile_package(
                     r.task_text or "", int(r.limit_tokens or 0), ranked, _plain(r.symbols, ("rank",)), _plain(r.deps, ("_n",)), _plain(r.tests, ("_n",)), contents,
                     _plain(r.commits, ("n",)), _claims(r.verified), _claims(r.diagnostic), [] if r.dirty is None else list(r.dirty), 0 if pd.isna(r.claim_bytes) else int(r.claim_bytes),
+                    0 if pd.isna(r.candidates) else int(r.candidates),
                 )
                 out.append((r.task_id, json.dumps(p, ensure_ascii=False, sort_keys=True), p["budget"]["returned_tokens"], None))
             except ValueError as e:

@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.functions.text import ascii_lower
 from codeloom.session import materialize
@@ -53,27 +57,50 @@ def term_lists(terms: DataFrame, value: Column, size: int = 500) -> DataFrame:
     return terms.join(n, "repo_id").groupBy("repo_id", part.alias("part")).agg(F.collect_set(value).alias("terms"))
 
 
-def _grams(text: Column, sizes: list[int]) -> Column:
-    """Distinct runs of so many characters of a text. Its letters are bound once, as the only element of an array."""
-    runs = lambda c, n: F.transform(
-        F.filter(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: i <= F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)])
-    )
-    return F.transform(F.array(F.split(text, "")), lambda c: F.array_distinct(F.concat(*[c if n == 1 else runs(c, n) for n in sizes])))[0]
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _asked(term: pd.Series) -> pd.Series:
+    """The runs of three characters of a term, or the whole of a shorter one, as codes."""
+    return term.map(lambda t: [_code(t[i : i + 3]) for i in range(max(1, len(t) - 2))])
+
+
+def _code(run: str) -> int:
+    """Up to three characters in one number, 21 bits each."""
+    return sum(ord(c) << 21 * k for k, c in enumerate(run))
+
+
+def _grams(batches):
+    """Replaces the last column, a text, by each distinct run of one to three of its characters, as codes."""
+    for b in batches:
+        texts = b.column(b.num_columns - 1).to_pylist()
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        row = np.repeat(np.arange(len(texts)), size)
+        one = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        rows, codes = [row], [one]
+        for n in (2, 3):
+            inside = row[n - 1 :] == row[: len(row) - n + 1]
+            code = sum(one[k : len(one) - n + 1 + k] << 21 * k for k in range(n)) if len(one) >= n else one[:0]
+            rows.append(row[: len(code)][inside[: len(code)]]), codes.append(code[inside[: len(code)]])
+        r, c = np.concatenate(rows), np.concatenate(codes)
+        order = np.lexsort((c, r))
+        r, c = r[order], c[order]
+        first = np.ones(len(r), bool)
+        first[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
+        r, c = pa.array(r[first]), pa.array(c[first])
+        yield pa.RecordBatch.from_arrays([*(b.column(i).take(r) for i in range(b.num_columns - 1)), c], names=[*b.schema.names[:-1], "_gram"])
 
 
 def holding(texts: DataFrame, hay: list[Column], terms: DataFrame, key: list[str], fold: Callable[[Column], Column]) -> DataFrame:
     """Rows of ``texts`` with each ``term`` of their repository that one of the columns ``hay`` holds (already folded).
 
-    A term is looked up by the rarest of its runs of three characters (fewer if it is shorter): texts and terms meet in equi-joins on
+    A term is looked up by the rarest of its runs of three characters (all of it if it is shorter): texts and terms meet in equi-joins on
     (repository, run), and only those that share the rarest run are compared. Only runs that some term has leave the scan. ``key``: columns that tell rows
-    apart, ``repo_id`` among them. Empty and null terms find nothing.
+    apart, ``repo_id`` among them; a row whose key is null is not found. Empty and null terms find nothing.
     """
     t = terms.filter("term <> ''").select("repo_id", "term").distinct().withColumn("_low", fold(F.col("term")))
-    size = F.char_length("_low")
-    own = F.when(size >= 3, _grams(F.col("_low"), [3])).otherwise(F.array("_low"))
-    asked = t.select("repo_id", "term", "_low", F.explode(own).alias("_gram"))
-    every = F.array_distinct(F.concat(*[_grams(F.coalesce(h, F.lit("")), [1, 2, 3]) for h in hay]))
-    x = texts.select(*key, F.explode(every).alias("_gram"))
+    asked = t.select("repo_id", "term", "_low", F.explode(_asked("_low")).alias("_gram"))
+    joined = texts.select(*key, F.concat_ws("\0", *hay).alias("_hay")).filter("_hay <> ''")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1]) + ", _gram bigint"
+    x = joined.mapInArrow(_grams, schema)
     hits = materialize(x.join(asked.select("repo_id", "_gram").distinct(), ["repo_id", "_gram"], "left_semi").distinct(), "grams")
     often = hits.groupBy("repo_id", "_gram").agg(F.count("*").alias("_n"))
     best = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("b")

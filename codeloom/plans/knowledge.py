@@ -339,16 +339,17 @@ def context_symbols(spark, folder):
         UNION SELECT j.*, n.name FROM j JOIN un n ON n.repo_id = j.repo_id AND j.kind = 'tests' AND (j.source_symbol_name = n.name OR lower(j.source_symbol_name) = 'test_' || lower(n.name)
             OR starts_with(lower(j.source_symbol_name), 'test_' || lower(n.name) || '_'))),
       te AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY repo_id, name, source_file, source_symbol_name, target_name ORDER BY kind <> 'tests', line_number, kind) = 1),
-      sig AS (SELECT task_id, file_path AS file, score FROM m
-        UNION ALL SELECT task_id, source_file, 5.0 * times FROM nm JOIN refs r ON r.repo_id = nm.repo_id AND r.target_name = nm.name AND r.kind = 'calls'
-        UNION ALL SELECT task_id, source_file, 4.0 * times FROM nm JOIN refs r ON r.repo_id = nm.repo_id AND r.source_symbol_name = nm.name AND r.kind = 'calls'
-        UNION ALL SELECT task_id, source_file, 6.0 * times FROM nm JOIN te ON te.repo_id = nm.repo_id AND te.name = nm.name
-        UNION ALL SELECT DISTINCT task_id, relative_path, 8.0 FROM budgets JOIN dirty USING (repo_id))
-    SELECT task_id, file, sum(score)::DOUBLE AS score FROM sig GROUP BY 1, 2""",
+      sig AS (SELECT task_id, file_path AS file, score, 1 AS times FROM m
+        UNION ALL SELECT task_id, source_file, 5.0 * times, times FROM nm JOIN refs r ON r.repo_id = nm.repo_id AND r.target_name = nm.name AND r.kind = 'calls'
+        UNION ALL SELECT task_id, source_file, 4.0 * times, times FROM nm JOIN refs r ON r.repo_id = nm.repo_id AND r.source_symbol_name = nm.name AND r.kind = 'calls'
+        UNION ALL SELECT task_id, source_file, 6.0 * times, times FROM nm JOIN te ON te.repo_id = nm.repo_id AND te.name = nm.name
+        UNION ALL SELECT DISTINCT task_id, relative_path, 8.0, 1 FROM budgets JOIN dirty USING (repo_id))
+    SELECT task_id, file, sum(score)::DOUBLE AS score, CAST(sum(times) AS BIGINT) AS n_reasons FROM sig GROUP BY 1, 2""",
 )
 def context_file_scores(spark, folder):
-    """The score of every file for every task, by all signals but the text search."""
-    return context.file_scores(_context(spark, folder)[3]).drop("reasons")
+    """The score of every file for every task, and how many reasons it has, by all signals but the text search and the claims."""
+    scores = context.file_scores(_context(spark, folder, materialize)[3])
+    return scores.select("task_id", "file", "score", F.aggregate("reasons", F.lit(0).cast("bigint"), lambda a, r: a + r["n"]).alias("n_reasons"))
 
 
 def _task_claims(spark, folder, b, signals):
@@ -388,7 +389,7 @@ def context_packages(spark, folder):
     hits = materialize(hits.select("task_id", F.col("path").alias("file"), "idx"), "hits")
     matches, deps, tests, signals = _context(spark, folder, materialize, hits)
     claims, supported = _task_claims(spark, folder, b, signals)
-    top = context.file_scores(signals.unionByName(context.memory_signal(supported)), context.FILES)
+    scores = materialize(context.file_scores(signals.unionByName(context.memory_signal(supported))), "scores")
     names = matches.select("task_id", "repo_id", "name").distinct()
     d = deps.filter("role <> 'import'").join(names, ["repo_id", "name"]).select(
         "task_id", F.coalesce("source_symbol_name", F.lit("<top-level>")).alias("caller"), F.col("target_name").alias("callee"),
@@ -396,8 +397,33 @@ def context_packages(spark, folder):
     ).distinct()
     t = tests.join(names, ["repo_id", "name"]).select("task_id", F.col("source_file").alias("test_file"), F.col("source_symbol_name").alias("test_name"), F.col("name").alias("target_symbol")).distinct()
     c = _recent(spark, folder).select("repo_id", "n", "commit_id", text.redact(F.col("summary")).alias("summary"), F.col("created_at").cast("bigint").alias("timestamp"))
-    top, s = materialize(top, "scores"), context.candidate_symbols(matches)
-    return context.packages(b, top, s, d, t, content, c, claims, _dirty(spark, folder))
+    return context.packages(b, scores, context.candidate_symbols(matches), d, t, content, c, claims, _dirty(spark, folder))
+
+
+_PACKAGE = (
+    "task string, files array<struct<path:string,score:double,reasons:array<string>,snippet:string>>, symbols array<struct<id:string,signature:string>>,"
+    " budget struct<limit:bigint,returned_tokens:bigint,candidate_files:bigint,returned_files:bigint>"
+)
+
+
+@R.query(
+    "context_package_checks",
+    "SELECT DISTINCT task_id, limit_tokens, true AS fits, true AS files_in_order, true AS counts_agree, true AS symbols_known FROM budgets",
+)
+def context_package_checks(spark, folder):
+    """What must hold of every package: within its budget, files by score, counts that agree, symbols among the task's best twelve."""
+    p = context_packages(spark, folder).filter("error IS NULL").select("task_id", F.from_json("package", _PACKAGE).alias("p"))
+    best = context_symbols(spark, folder).groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("best"))
+    b = table(spark, folder, "budgets").select("task_id", "limit_tokens")
+    j = p.join(b, "task_id").join(best, "task_id", "left")
+    score = F.transform("p.files", lambda f: f["score"])
+    given, known = F.transform("p.symbols", lambda s: s["id"]), F.coalesce(F.transform("best", lambda s: s["id"]), F.array().cast("array<string>"))
+    n = F.col("p.budget.returned_files")
+    return j.select(
+        "task_id", "limit_tokens", (F.col("p.budget.returned_tokens") <= F.col("limit_tokens")).alias("fits"), (score == F.sort_array(score, asc=False)).alias("files_in_order"),
+        ((F.size("p.files") == n) & (n <= context.FILES) & (n <= F.col("p.budget.candidate_files"))).alias("counts_agree"),
+        (given == F.slice(known, F.lit(1), F.size(given))).alias("symbols_known"),
+    )
 
 
 @R.query(

@@ -41,6 +41,19 @@ def test_dirty_files_go_all_at_once_and_last():
     assert all(p["dirty"] for p in seen if p["verified"] or p["diagnostic"])
 
 
+def test_candidates_signatures_and_reasons(spark):
+    long = "fn f(" + "a: u8, " * 100 + ") ghp_" + "a" * 36
+    symbols = [{"id": "1", "name": "f", "file_path": "a.rs", "start_line": 1, "score": 1.0, "signature": long}, {"id": "2", "name": "g", "file_path": "a.rs", "start_line": 1, "score": 1.0, "signature": None}]
+    files = [{"path": f"f{k}.rs", "score": 1.0, "reasons": []} for k in range(15)]
+    p = context.compile_package("do it", 4000, files, symbols, [], [], {}, candidates=40)
+    assert p["budget"]["candidate_files"] == 40 and p["budget"]["returned_files"] == 15
+    assert len(p["symbols"][0]["signature"].encode()) == 256 and p["symbols"][1]["signature"] is None
+    signals = spark.createDataFrame([(1, "a", 5.0, "calls", 1), (1, "a", 10.0, "calls", 2), (1, "a", 4.0, "by", 1), (1, "b", 1.0, "x", 1)], "task_id bigint, file string, score double, reason string, times bigint")
+    got = {r.file: (r.score, [tuple(x) for x in r.reasons]) for r in context.file_scores(signals).collect()}
+    assert got == {"a": (19.0, [("by", 1), ("calls", 3)]), "b": (1.0, [("x", 1)])}
+    assert [r.file for r in context.best_files(context.file_scores(signals), 1).collect()] == ["a"]
+
+
 def test_claims_follow_files_that_earlier_ones_scored(spark):
     e = spark.createDataFrame([(m, "r", "f") for m in ("m1", "m2", "m3")], "memory_id string, repo_id string, file string")
     order = spark.createDataFrame([("m1", 1), ("m2", 2), ("m3", 3)], "memory_id string, at int")
