@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import ids
-from codeloom.functions.vocab import EDGE_KINDS, PROJECTED_EDGES
+from codeloom.functions.vocab import EDGE_KINDS, PROJECTED_EDGES, parse_export_format
 from codeloom.session import materialize
 
 NODE = ["repo_id", "dataset_id", "id", "kind", "label", "datapoint_id"]
@@ -199,7 +199,7 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """
     if depth > MAX_DEPTH:
         raise ValueError(f"depth {depth} is above {MAX_DEPTH}")
-    steps = edges.select("src_id", "dst_id").distinct()
+    steps = materialize(edges.select("src_id", "dst_id").distinct(), "steps")
     seen = frontier = starts.select(F.col("id").alias("start"), "id").distinct().withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         reached = frontier.join(steps, frontier.id == steps.src_id).select("start", F.col("dst_id").alias("id")).distinct()
@@ -220,6 +220,27 @@ def json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
+def json_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The lines, in order, of the document ``{"nodes": [...], "edges": [...]}``; written as text, the parts in order are the document.
+
+    The order is a sort by ranges, so no task holds the graph; the driver sees the first key of each part alone.
+    """
+    lines = json_lines(nodes, edges)
+    first = {r["part"]: r["ord"] for r in lines.groupBy("part").agg(F.min("ord").alias("ord")).collect()}
+    section = F.when(F.col("part") == "node", 1).otherwise(3)
+    leads = F.lit(False)
+    for part, key in first.items():
+        leads = leads | ((F.col("part") == part) & (F.col("ord") == key))
+    body = lines.select(section.alias("section"), "ord", F.concat(F.when(leads, "").otherwise(","), "line").alias("line"))
+    frame = nodes.sparkSession.createDataFrame([(0, "", '{"nodes":['), (2, "", '],"edges":['), (4, "", "]}")], body.schema)
+    return body.unionByName(frame).orderBy("section", "ord").select("line")
+
+
+def export(nodes: DataFrame, edges: DataFrame, form: str) -> DataFrame:
+    """The graph as ``json``, ``dot`` or ``mermaid`` lines; another format is an error."""
+    return {"json": json_lines, "dot": dot_lines, "mermaid": mermaid_lines}[parse_export_format(form)](nodes, edges)
+
+
 def _dot(c: str) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
 

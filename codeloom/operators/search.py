@@ -50,6 +50,7 @@ def bm25(corpus: DataFrame, query: str, k: int = 10, stemmed: bool = False) -> D
         "path", (F.size("tp") + F.size("tc")).alias("len"),
         *[(_count("tp", p) + _count("tc", p)).alias(f"f{i}") for i, p in enumerate(phrases)],
     )
+    hits = materialize(hits, "hits")  # a few numbers a text: the texts are read once
     s = hits.agg(
         F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(phrases))]
     ).first()

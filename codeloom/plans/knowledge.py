@@ -177,10 +177,16 @@ def graph_export_mermaid(spark, folder):
     return graph.mermaid_lines(*_graph(spark, folder))
 
 
-@R.query("graph_export_json")
+@R.query(
+    "graph_export_json",
+    f"""WITH {_ALL} SELECT 'node' AS part, id AS a, kind AS b, label AS c FROM nodes UNION ALL SELECT 'edge', src_id, dst_id, kind FROM edges""",
+)
 def graph_export_json(spark, folder):
-    """The graph as JSON objects, a line each."""
-    return graph.json_lines(*_graph(spark, folder))
+    """The graph as JSON objects, a line each, read back: its ids, kinds and labels, its ends and kinds."""
+    lines = graph.json_lines(*_graph(spark, folder))
+    of = lambda *names: F.coalesce(*[F.get_json_object("line", f"$.{n}") for n in names])
+    node = F.col("part") == "node"
+    return lines.select("part", of("id", "src_id").alias("a"), F.when(node, of("kind")).otherwise(of("dst_id")).alias("b"), F.when(node, of("label")).otherwise(of("kind")).alias("c"))
 
 
 @R.query(

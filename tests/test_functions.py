@@ -144,8 +144,66 @@ def test_extraction(path, source, names, calls):
     assert {r["target_name"] for r in references if r["kind"] in ("calls", "tests")} == calls
 
 
+RUST_TEST = """
+pub struct AuthService;
+impl AuthService {
+    pub fn rotate_refresh_token(user: &str) -> bool { verify_session(user); true }
+}
+#[test]
+fn test_rotate() { rotate_refresh_token("alice"); }
+#[tokio::test(flavor = "x")]
+async fn checks_it() { assert_eq!(rotate(), 1); }
+"""
+
+
+@pytest.mark.parametrize(
+    "path, source, symbols, references",
+    [
+        ("src/auth.rs", RUST_TEST, {("AuthService", "struct"), ("rotate_refresh_token", "function"), ("test_rotate", "function"), ("checks_it", "function")},
+         {("rotate_refresh_token", "verify_session", "calls"), ("test_rotate", "rotate_refresh_token", "tests"), ("test_rotate", "rotate_refresh_token", "calls"), ("checks_it", "checks_it", "tests")}),
+        ("m.py", "class T:\n    def refresh(self, t):\n        validate(t)\n\ndef test_refresh_token():\n    T().refresh('a')\n", {("T", "class"), ("refresh", "function"), ("test_refresh_token", "function")},
+         {("refresh", "validate", "calls"), ("test_refresh_token", "refresh", "tests"), ("test_refresh_token", "refresh", "calls"), ("test_refresh_token", "T", "calls")}),
+        ("main.go", "package main\nimport \"fmt\"\ntype S struct {\n\ta int\n}\ntype I int\nfunc helper() {}\nfunc main() { helper() }\n", {("S", "type_alias"), ("I", "type_alias"), ("helper", "function"), ("main", "function")},
+         {(None, '"fmt"', "imports"), ("main", "helper", "calls")}),
+        ("parse.cpp", "#include <a>\nnamespace demo {\nvoid parse_header() {}\nint main() { parse_header(); }\nclass A : B {\n  A(int x) : x_(x), y{1} { go(); }\n  std::string C() const { return x_.size(); }\n};\nint A::d() { return 1; }\n}\n",
+         {("demo", "module"), ("parse_header", "function"), ("main", "function"), ("A", "class"), ("A", "function"), ("C", "function"), ("d", "function")},
+         {(None, "#include <a>", "imports"), ("main", "parse_header", "calls"), ("A", "go", "calls"), ("C", "size", "calls")}),
+        ("app.ts", "interface User { name: string }\ntype Id = string;\nenum Color { Red }\nfunction greet(id: Id) { return f(id); }\nfoo();\n", {("User", "interface"), ("Id", "type_alias"), ("Color", "enum"), ("greet", "function")},
+         {("greet", "f", "calls"), (None, "foo", "calls")}),
+        ("app.tsx", "export function View(p: P) { return <div>{show(p)}</div>; }\n", {("View", "function")}, {("View", "show", "calls")}),
+        ("app.dart", "import 'a.dart';\nvoid helper() {}\nvoid main() { helper(); }\nclass K extends L {\n  int m(int x) => go(x);\n}\nvoid runSuite() {\n  group('suite', () {\n    test('adds', () { helper(); });\n  });\n}\n",
+         {("helper", "function"), ("main", "function"), ("K", "class"), ("m", "method"), ("runSuite", "function"), ("suite", "function"), ("adds", "function")},
+         {(None, "import 'a.dart';", "imports"), ("main", "helper", "calls"), ("K", "go", "calls"), ("runSuite", "group", "tests"), ("runSuite", "test", "tests"), ("runSuite", "helper", "calls")}),
+        ("a.js", "import x from 'y';\ndescribe('s', () => { it('w', () => { go(); }); });\n", set(), {(None, "import x from 'y';", "imports"), (None, "describe", "tests"), (None, "it", "tests"), (None, "go", "calls")}),
+        ("s.zsh", "X=1; X=2\nf() {\n  local y=\"$(date)\" z=3\n  echo \"a b=c\" # d=1\n}\n", {("X", "variable"), ("f", "function"), ("y", "variable"), ("z", "variable")}, {("f", "date", "calls"), ("f", "echo", "calls")}),
+        ("a.rb", "  def hello\nend\nx = function go\n", {("hello", "function"), ("go", "function")}, set()),
+    ],
+)
+def test_extraction_by_language(path, source, symbols, references):
+    s, r = extract.extract(path, source)
+    assert {(x["name"], x["kind"]) for x in s} == symbols
+    assert {(x["source_symbol_name"], x["target_name"], x["kind"]) for x in r} == references
+
+
+def test_ids_are_distinct_on_a_line():
+    for path, source, name, parts in (
+        ("sample.sh", "X=1; X=2", "X", ("@0", "@5")), ("src/same.rs", "mod a { fn f() {} } mod b { fn f() {} }", "f", ("::a::f@", "::b::f@")),
+        ("same.js", "class A { f() {} } class B { f() {} }", "f", ("::A::f@", "::B::f@")),
+    ):
+        found = [s["id"] for s in extract.extract(path, source)[0] if s["name"] == name]
+        assert len(set(found)) == 2 and all(any(p in i for i in found) for p in parts)
+
+
+def test_extraction_reads_every_language_of_a_table(spark):
+    rows = [("r", f"a.{e}", "function go(x) {}\n") for e in ("tsx", "rb", "lua")] + [("r", "a.cpp", "int go() {}\n"), ("r", "a.dart", "int go() {}\n"), ("r", "a.zsh", "go() {\n}\n"), ("r", "a.md", "function go\n"), ("r", None, "x"), ("r", "b.py", None)]
+    df = spark.createDataFrame(rows, "repo_id string, relative_path string, content string")
+    assert {r.file_path for r in extract.extract_symbols(df).filter("name = 'go'").collect()} == {"a.tsx", "a.rb", "a.lua", "a.cpp", "a.dart", "a.zsh"}
+    assert extract.extract_references(df).count() == 0
+
+
 def test_extraction_of_deep_nesting():
-    extract.extract("a.rs", "fn f() { " + "(" * 5000 + ")" * 5000 + " }")
+    s, r = extract.extract("a.rs", "fn f() { " + "(" * 5000 + "foo()" + ")" * 5000 + " }")
+    assert [x["name"] for x in s] == ["f"] and [(x["source_symbol_name"], x["target_name"]) for x in r] == [("f", "foo")]
     extract.extract("a.py", "x = " + "(" * 5000)
 
 

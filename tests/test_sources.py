@@ -149,6 +149,17 @@ def test_graph_upkeep(spark):
     assert {r.id: r.label for r in renamed.collect()}["a"] == "new"
 
 
+def test_export_forms(spark):
+    nodes = spark.createDataFrame([("r", "d", "b", "file", 'B"', None), ("r", "d", "a", "file", "A", "p")], "repo_id string, dataset_id string, id string, kind string, label string, datapoint_id string")
+    edges = spark.createDataFrame([("r", "d", "a", "b", "calls", "secret")], EDGES)
+    doc = json.loads("\n".join(r.line for r in graph.json_document(nodes, edges).collect()))
+    assert [n["id"] for n in doc["nodes"]] == ["a", "b"] and doc["edges"] == [{"src_id": "a", "dst_id": "b", "kind": "calls"}]
+    assert json.loads("\n".join(r.line for r in graph.json_document(nodes.limit(0), edges.limit(0)).collect())) == {"nodes": [], "edges": []}
+    assert graph.export(nodes, edges, " Mermaid").count() == 3
+    with pytest.raises(ValueError):
+        graph.export(nodes, edges, "svg")
+
+
 def test_commit_nodes_split(spark):
     nodes = spark.createDataFrame([("r", "d", "commit:abc", "commit", "m", None)], "repo_id string, dataset_id string, id string, kind string, label string, datapoint_id string")
     edges = spark.createDataFrame([("r", "d", "commit:abc", "f", "touched-in-commit", None), ("q", "e", "commit:abc", "g", "touched-in-commit", None)], EDGES)
