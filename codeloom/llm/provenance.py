@@ -11,12 +11,15 @@ Each file is read once by its lexer, which gives
 The hashes are the leaves of a Merkle tree over each repository's folders, built bottom
 up, one aggregation a level. A folder's hash joins its children's without their names
 and in no order, so a renamed copy keeps it; it is a sum and an exclusive or, so no
-folder's list of children is ever gathered. A file or folder whose hash equals that of
-one known to be third-party, by place or notice, in any repository is a copy of it.
+folder's list of children is ever gathered. A subtree marks vendored code by itself if it stands in unrelated
+repositories: a folder of ``LEAST_FILES`` files or more in two, a file in ``UNRELATED``. Repositories are related if their whole
+trees have one hash, as those of forks and mirrors have. A file or folder whose hash equals that of
+one known to be third-party, by place or notice, in any repository is a copy of it as well.
 
 Defined results: only files in a programming language are cases. Null content is
-judged by place and name alone; empty content likewise. Texts below ``LEAST_CODE``
-characters of code are too short to mark copies by themselves. Repeated rows count once;
+judged by place and name alone; empty content likewise. A file with fewer than ``LEAST_CODE``
+characters of code goes by the hash of its whole text, comments included; if that is as short, it is no copy by
+itself, but as a part of a folder. Repeated rows count once;
 if the rows of a file differ, it is a case if any is. A file that merely speaks of
 generators is none: notices count in comments of the fixed forms below only.
 """
@@ -37,6 +40,8 @@ PROGRAMMING = {"python", "rust", "javascript", "typescript", "go", "c", "bash"}
 LEAST_CODE = 100
 #: Files of a folder that marks its copies.
 LEAST_FILES = 2
+#: Unrelated repositories in which a file by itself is vendored code.
+UNRELATED = 3
 
 # Folders of third-party code, and names given by generators.
 PLACES = {
@@ -146,7 +151,7 @@ def by_path(path: str) -> str | None:
 
 
 def features(path: str, text: str | None) -> tuple[str | None, str | None, str | None, int]:
-    """(kind, what told it, hash of the code or None, characters of code)."""
+    """(kind, what told it, hash of the code or None, characters that the hash stands for)."""
     language = language_of(path)
     kind, told = by_path(path), "place"
     if not text:
@@ -155,7 +160,9 @@ def features(path: str, text: str | None) -> tuple[str | None, str | None, str |
     code = "".join(text[a:b] for k, a, b in tokens if k not in "cl")
     if language == "bash":
         code = re.sub(r"(?m)^[ \t]*#.*$|\s+", "", text)
-    digest = hashlib.sha256(f"{language}\0{code}".encode()).hexdigest()
+    digest, size = hashlib.sha256(f"{language}\0{code}".encode()).hexdigest(), len(code)
+    if size < LEAST_CODE:
+        digest, size = hashlib.sha256(f"text\0{language}\0{text}".encode()).hexdigest(), len(text.strip())
     said = notice(tokens, text, language)
     if kind != "vendored" and said == "vendored":
         kind, told = said, "notice"
@@ -165,7 +172,7 @@ def features(path: str, text: str | None) -> tuple[str | None, str | None, str |
         kind, told = looks, "layout"
     if kind is None and any(f.lower() in _GENERATED_PLACES for f in path.split("/")[:-1]):
         kind, told = "generated", "place"
-    return kind, told if kind else None, digest, len(code)
+    return kind, told if kind else None, digest, size
 
 
 FEATURES = "repo_id string, relative_path string, kind string, told string, digest string, size bigint"
@@ -223,7 +230,10 @@ def merkle(files: DataFrame) -> DataFrame:
 
 
 def classify(files: DataFrame, content: DataFrame) -> DataFrame:
-    """Every file of a programming language: (repo_id, relative_path, kind, told); kind null is hand-written."""
+    """Every file of a programming language: (repo_id, relative_path, kind, told, n_repos); kind null is hand-written.
+
+    ``n_repos``: unrelated repositories that hold the file, or a folder around it, if that marks it.
+    """
     # Texts are read where they lie and never shuffled; a file without a row of content is judged by its path.
     key = ["repo_id", "relative_path"]
     bare = files.select(*key).distinct().withColumn("content", F.lit(None).cast("string"))
@@ -249,20 +259,28 @@ def classify(files: DataFrame, content: DataFrame) -> DataFrame:
     known = F.when(is_leaf, F.col("foreign")).otherwise(F.col("n_foreign") == F.col("files"))
     big = (F.col("size") >= LEAST_CODE) & (is_leaf | (F.col("files") >= LEAST_FILES))
     nodes = materialize(nodes.filter(big).select("repo_id", "node", "digest", known.alias("known"), is_leaf.alias("leaf")), "tree")
-    shared = nodes.groupBy("digest").agg(F.max(F.coalesce("known", F.lit(False))).alias("k"), F.count("*").alias("n"))
-    copies = nodes.join(shared.filter("k AND n > 1").select("digest"), "digest", "left_semi")
-    leaves = copies.filter("leaf").select("repo_id", F.col("node").alias("relative_path"))
-    folders = copies.filter("NOT leaf").select("repo_id", "node").distinct()
+    root = flat.filter("digest IS NOT NULL").groupBy("repo_id").agg(F.bit_xor(F.xxhash64("digest", "relative_path")).alias("root"))
+    # the distinct roots of a hash, so that forks count once; a partial count comes before the shuffle
+    held = nodes.join(root, "repo_id").groupBy("digest", "root").agg(
+        F.max(F.coalesce("known", F.lit(False))).alias("k"), F.count("*").alias("n"), F.max("leaf").alias("leaf")
+    )
+    shared = held.groupBy("digest").agg(F.max("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("n_repos"), F.max("leaf").alias("leaf"))
+    alone = F.col("n_repos") >= F.when(F.col("leaf"), UNRELATED).otherwise(2)
+    marked = shared.filter((F.col("k") & (F.col("n") > 1)) | alone).select("digest", "n_repos", (~alone).alias("by_mark"))
+    copies = nodes.join(marked, "digest")
+    leaves = copies.filter("leaf").select("repo_id", F.col("node").alias("relative_path"), "n_repos", "by_mark")
+    folders = copies.filter("NOT leaf").select("repo_id", "node", "n_repos", "by_mark")
     under = (
         flat.select("repo_id", "relative_path", F.explode(_folders("relative_path")).alias("node"))
-        .join(folders, ["repo_id", "node"], "left_semi")
-        .select("repo_id", "relative_path")
+        .join(folders, ["repo_id", "node"])
+        .select("repo_id", "relative_path", "n_repos", "by_mark")
     )
-    copied = leaves.unionByName(under).distinct().withColumn("copied", F.lit(True))
-    kind = F.when(F.col("kind").isNotNull(), F.col("kind")).when(F.col("copied"), "vendored")
-    told = F.when(F.col("kind").isNotNull(), F.col("told")).when(F.col("copied"), "copy")
+    copied = leaves.unionByName(under).groupBy("repo_id", "relative_path").agg(F.max("n_repos").alias("n_repos"), F.min("by_mark").alias("by_mark"))
+    hit = F.col("n_repos").isNotNull()
+    kind = F.when(F.col("kind").isNotNull(), F.col("kind")).when(hit, "vendored")
+    told = F.when(F.col("kind").isNotNull(), F.col("told")).when(hit, F.when(F.col("by_mark"), "copy").otherwise("shared"))
     return flat.join(copied, ["repo_id", "relative_path"], "left").select(
-        "repo_id", "relative_path", kind.alias("kind"), told.alias("told")
+        "repo_id", "relative_path", kind.alias("kind"), told.alias("told"), F.coalesce("n_repos", F.lit(1)).alias("n_repos")
     )
 
 

@@ -132,13 +132,37 @@ def test_copies_of_third_party_code(spark):
     files = content.select("repo_id", "relative_path", "extra")
     got = {(r.repo_id, r.relative_path): (r.kind, r.told) for r in provenance.classify(files, content).filter("kind IS NOT NULL").collect()}
     assert got == {
-        ("r1", "third_party/lib/a.rs"): ("vendored", "place"), ("r2", "src/own/z.rs"): ("vendored", "copy"),
-        ("r3", "src/other.rs"): ("vendored", "copy"), ("r4", "node_modules/b.rs"): ("vendored", "place"),
+        ("r1", "third_party/lib/a.rs"): ("vendored", "place"), ("r2", "src/own/z.rs"): ("vendored", "shared"),
+        ("r3", "src/other.rs"): ("vendored", "shared"), ("r4", "node_modules/b.rs"): ("vendored", "place"),
     }
     none = provenance.classify(files.limit(0), content.limit(0))
     assert none.count() == 0
 
 
+def kinds(spark, rows):
+    content = spark.createDataFrame(rows, CONTENT)
+    return {(r.repo_id, r.relative_path): (r.kind, r.told, r.n_repos) for r in provenance.classify(content, content).filter("kind IS NOT NULL").collect()}
+
+
+def test_subtrees_of_unrelated_repositories_mark_vendored_code(spark):
+    """Nothing but the tree tells these: no notice, no folder, no name."""
+    other = HAND.replace("add", "sum")
+    own = lambda r: (r, "src/own.rs", LIB.replace("parse", f"own_{r}"), 1)
+    three = [(r, f"src/{r}/x.rs", LIB, 1) for r in ("a", "b", "c")] + [own(r) for r in ("a", "b", "c")]
+    assert kinds(spark, three) == {(r, f"src/{r}/x.rs"): ("vendored", "shared", 3) for r in ("a", "b", "c")}
+    two = [(r, f"{r}/{n}.rs", t, 1) for r in ("a", "b") for n, t in (("x", LIB), ("y", other), ("tiny", "mod q;\n"))] + [own("a"), own("b")]
+    assert kinds(spark, two) == {(r, f"{r}/{n}.rs"): ("vendored", "shared", 2) for r in ("a", "b") for n in ("x", "y", "tiny")}
+    assert kinds(spark, [x for x in two if x[1].endswith("x.rs") or "own" in x[1]]) == {}  # one file in two repositories may be chance
+    forks = [(r, p, t, 1) for r in ("a", "b", "c") for p, t in (("src/x.rs", LIB), ("src/y.rs", other))]
+    assert kinds(spark, forks) == {}
+
+
+def test_short_code_goes_by_its_whole_text(spark):
+    text = "// A table of the ports, in the order in which the devices were first listed.\n" * 2 + "mod a;\n"
+    rows = [("a", "vendor/q/m.rs", text, 1), ("b", "src/m.rs", text, 1), ("c", "src/m.rs", "// ours\nmod a;\n", 1)]
+    assert {k: v[:2] for k, v in kinds(spark, rows).items()} == {("a", "vendor/q/m.rs"): ("vendored", "place"), ("b", "src/m.rs"): ("vendored", "copy")}
+
+
 def test_small_files_of_a_copied_folder(spark):
     tree = {"lib/a.rs": LIB, "lib/b.rs": HAND.replace("add", "sum"), "lib/tiny.rs": "mod a;\n"}
     rows = [("r1", f"vendor/{p}", t, 1) for p, t in tree.items()] + [("r2", f"src/{p}", t, 1) for p, t in tree.items()] + [("r3", "src/tiny.rs", "mod a;\n", 1)]
