@@ -6,8 +6,8 @@ finds unbalanced delimiters, premature ends and merge-conflict markers in code,
 through rules on what may follow what, which find text of another language under a
 wrong extension. Text inside strings and comments never counts.
 
-For Python, JSON and TOML an exact parser of the standard library follows: it settles
-what the stack suspected and adds what only a full grammar sees.
+What the stack accepts is no case. For Python, JSON and TOML a parser of the standard library looks at the texts that
+the stack rejects, and may acquit them.
 
 Defined results: null content is no case; empty content is one only for JSON. Files with
 other extensions are no case. Repeated rows give one row; if the rows of a file differ,
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.lexing import language_of, lex
+from codeloom.llm.grammars import check_python, check_toml
 
 Fault = tuple[str, int]
 _PAIR = {")": "(", "]": "[", "}": "{"}
@@ -1198,13 +1199,12 @@ def fault(language: str, text: str) -> Fault | None:
                     found = _check_rust(run, partner, skip)
                 else:
                     found = _check_c(run, partner)
-    if language in ("python", "json", "toml"):
-        exact = _exact(language, text)
-        if exact is None:
-            return None
-        if exact is _GAVE_UP:  # the stack has seen the whole text
-            return found
-        return found or (exact, 0)
+    if not found and language == "python":
+        found = check_python(run, partner)
+    elif not found and language == "toml":
+        found = check_toml(run)
+    if found and language in ("python", "json", "toml") and _exact(language, text) is None:
+        return None
     return found
 
 

@@ -79,6 +79,40 @@ def test_exact_parsers_agree(tiny):
         assert (syntax.fault(language, t) is None) == good
 
 
+def test_the_stack_alone_agrees_with_the_exact_parsers(tiny, monkeypatch):
+    """Whole texts and texts that were cut: the library's parsers are only asked to acquit."""
+    import pyarrow.parquet as pq
+
+    parse = {"python": ast.parse, "json": json.loads, "toml": tomllib.loads}
+    rng = random.Random(7)
+    whole = {(language_of(r["relative_path"]), r["content"]) for r in pq.read_table(f"{tiny}/file_content.parquet").to_pylist() if r["content"]}
+    whole = sorted((a, b) for a, b in whole if a in parse)
+    cut = [(a, b[: rng.randrange(len(b))]) for a, b in whole] + [(a, b[b.find("\n", rng.randrange(len(b))) + 1 :]) for a, b in whole]
+    monkeypatch.setattr(syntax, "_exact", lambda language, text: "rejected")
+    wrong = []
+    for language, t in whole + cut:
+        try:
+            parse[language](t)
+            good = True
+        except (SyntaxError, ValueError):
+            good = False
+        if (syntax.fault(language, t) is None) != good:
+            wrong.append((language, t))
+    assert not [x for x in wrong if x in whole] and len(wrong) <= 0.01 * len(whole + cut), wrong[:3]
+
+
+def test_python_blocks_and_statements():
+    good = ["x, = f()\nfrom a import *\nfrom ... import b\nfrom ...c import d\n", "@a.b(1)\nasync def f(a, /, *, b=1, **k) -> int: return -a ** ~b\n", "try:\n    pass\nexcept* E as e: pass\nelse:\n  x = lambda *a, b=1: {**c, 'd': [*e]}\nfinally:\n\tpass\n", "match x:\n    case [1, *_] if y: pass\n    case -1 | {'a': b}: pass\nmatch = 1\nprint(match, end='')\n", "if a: b; c\nelif d: e\nx = a if b else c\ny = not a in b\n", "# a \\\nx = 1 + \\\n  2\nx[::2, 1:] @= ...\n", "async with a as (b), c: yield\n", "for x in *a, b: pass\nelse: pass\nwhile (n := 1): break\n"]
+    bad = ["if x\n    y\n", "def f(:\n  pass\n", "x = \n", "for \n", "a b\n", "  x = 1\n", "if x:\ny\n", "try:\n  a\nb\n", "else:\n  a\n", "if a:\n  b\n c\n", "x.\n", "import\n", "@d\n", "x = a + * b c\n", "class:\n  pass\n", "def f():\n", "return x y\n", "x = (1 2)\n", "'a' b\n", "f(a == )\n"]
+    for t in good:
+        ast.parse(t)
+        assert syntax.fault("python", t) is None, t
+    for t in bad:
+        with pytest.raises(SyntaxError):
+            ast.parse(t)
+        assert syntax.fault("python", t) is not None, t
+
+
 def test_syntax_of_tables(spark):
     rows = [("r", "a.py", "x = (", 1), ("r", "a.py", "x = (", 1), ("r", "b.py", None, 1), ("r", "c.json", "", 1), ("r", "d.md", "((", 1), ("r", "e.rs", "fn f() {}", 1), (None, "f.py", "(", 1), ("r", None, "(", 1)]
     judged = syntax.judge(spark.createDataFrame(rows, CONTENT))
