@@ -3,11 +3,13 @@
 Per file the comments (and, in Python, the docstrings) are found by the lexer, so text
 in strings is never taken for a comment. Blocks that are commented-out code or hardly
 say anything are dropped first. The rest are matched with the file's functions as a
-bipartite assignment of greatest weight: a block that touches the declaration or its
+bipartite assignment of greatest weight, one block to one declaration: a block that touches the declaration or its
 attributes weighs most, parameter tags that name the function's parameters and mentions
-of its name add to it, blank lines between take away. Links across a gap are rejected
-as implausible afterwards; they only take part so that a block which another function
-claims better is not given away.
+of its name add to it, blank lines between take away. So of a comment and a docstring the one that speaks of the
+function's parameters is kept, and a block between two functions goes to the one that it describes. A link across
+a gap is plausible only if the block's tags all name parameters of the function, or if it calls the function by name;
+other such links are rejected. Every pair has its ``distance`` in blank lines. Declarations that begin on one line share
+their documentation.
 
 *Trivial* is a block that is code, or of which at most three words are left without the
 words of the function's name, markers, tag names, placeholders and tool directives.
@@ -278,8 +280,8 @@ def _assign(weights: dict[tuple[int, int], float], blocks: int) -> dict[int, int
     return of_block
 
 
-def pairs_of_file(path: str, text: str, symbols: list[dict]) -> list[tuple[int, str, str, str]]:
-    """(number of the symbol, kind of documentation, description, code) of the documented symbols."""
+def pairs_of_file(path: str, text: str, symbols: list[dict], assign=None) -> list[tuple[int, str, str, str, int]]:
+    """(number of the symbol, kind of documentation, description, code, distance) of the documented symbols."""
     language = language_of(path)
     if language is None or language in ("json", "toml"):
         return []
@@ -288,12 +290,13 @@ def pairs_of_file(path: str, text: str, symbols: list[dict]) -> list[tuple[int,
     order = sorted((i for i, s in enumerate(symbols) if s["start_line"] and 1 <= s["start_line"] <= n), key=lambda i: symbols[i]["start_line"])
     blocks: list[tuple[str, str]] = []  # (kind, text)
     spots: dict[tuple[int, int], int] = {}
-    weights: dict[tuple[int, int], float] = {}
+    weights: dict[tuple[int, int], float] = {}  # (block, line of the declaration)
     gap_of: dict[tuple[int, int], int] = {}
     tags: list[set[str]] = []
+    told: dict[tuple[int, int], list[int]] = {}  # the symbols of a line for which a block is not trivial
 
     def add(kind: str, body: str, number: int, gap: int, spot=None) -> None:
-        name = symbols[number]["name"] or ""
+        name, line = symbols[number]["name"] or "", symbols[number]["start_line"]
         if trivial(body, name):
             return
         b = spots.get(spot) if spot else None
@@ -305,11 +308,17 @@ def pairs_of_file(path: str, text: str, symbols: list[dict]) -> list[tuple[int,
                 spots[spot] = b
         signature = symbols[number]["signature"] or ""
         known = set(_LETTERS.findall(signature)) | set(re.findall(r"\w+", signature))
-        w = 10.0 if gap == 0 else 3.0 - gap
+        named = bool(name and re.search(rf"\b{re.escape(name)}\b", body))
+        called = bool(name and re.search(rf"`{re.escape(name)}(?:\(\))?`|\b{re.escape(name)}\(", body))
+        if gap and not (tags[b] and tags[b] <= known or called):
+            return  # implausible
+        w = 10.0 if gap == 0 else 5.0 - gap
         if tags[b]:
             w += 2.0 * len(tags[b] & known) / len(tags[b])
-        w += 0.5 * bool(name and re.search(rf"\b{re.escape(name)}\b", body))
-        weights[(b, number)], gap_of[(b, number)] = w, gap
+        w += 0.5 * named
+        key = b, line
+        weights[key], gap_of[key] = max(w, weights.get(key, 0.0)), gap
+        told.setdefault(key, []).append(number)
 
     for i in order:
         x = symbols[i]["start_line"] - 1
@@ -323,16 +332,15 @@ def pairs_of_file(path: str, text: str, symbols: list[dict]) -> list[tuple[int,
             raw = "".join(src.line_text(k) for k in range(span[0], span[1] + 1))
             add("comment", clean(raw), i, gap, span)
     out = []
-    for b, i in _assign(weights, len(blocks)).items():
-        if gap_of[(b, i)]:
-            continue  # implausible
-        first, last = symbols[i]["start_line"] - 1, min(symbols[i]["end_line"] or symbols[i]["start_line"], n)
-        code = "".join(src.line_text(k) for k in range(first, max(first + 1, last)))
-        out.append((i, blocks[b][0], blocks[b][1], code))
+    for b, line in (assign or _assign)(weights, len(blocks)).items():
+        for i in told[(b, line)]:
+            first, last = line - 1, min(symbols[i]["end_line"] or line, n)
+            code = "".join(src.line_text(k) for k in range(first, max(first + 1, last)))
+            out.append((i, blocks[b][0], blocks[b][1], code, gap_of[(b, line)]))
     return sorted(out)
 
 
-SCHEMA = "repo_id string, id string, relative_path string, qualified_name string, signature string, source string, description string, code string"
+SCHEMA = "repo_id string, id string, relative_path string, qualified_name string, signature string, source string, description string, code string, distance bigint"
 
 
 def _run(batches):
@@ -341,11 +349,12 @@ def _run(batches):
         rows: list[list] = [[] for _ in names]
         for repo, path, text, symbols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             symbols.sort(key=lambda s: (s["id"], s["start_line"] or 0))
-            for i, kind, body, code in pairs_of_file(path, text, symbols):
+            for i, kind, body, code, distance in pairs_of_file(path, text, symbols):
                 s = symbols[i]
-                for c, v in zip(rows, (repo, s["id"], path, s["qualified_name"], s["signature"], kind, body, code), strict=True):
+                for c, v in zip(rows, (repo, s["id"], path, s["qualified_name"], s["signature"], kind, body, code, distance), strict=True):
                     c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], names=names)
+        kinds = [pa.int64() if n == "distance" else pa.string() for n in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names)
 
 
 def pairs(symbols: DataFrame, content: DataFrame) -> DataFrame:
@@ -355,8 +364,8 @@ def pairs(symbols: DataFrame, content: DataFrame) -> DataFrame:
     listed = live.groupBy("repo_id", F.col("file_path").alias("relative_path")).agg(
         F.collect_set(F.struct(*fields)).alias("symbols")
     )
-    texts = content.filter("content IS NOT NULL").select("repo_id", "relative_path", "content").distinct()
+    texts = content.filter("content IS NOT NULL").select("repo_id", "relative_path", "content")
     found = texts.join(listed, ["repo_id", "relative_path"]).select("repo_id", "relative_path", "content", "symbols")
     rest = [f.split()[0] for f in SCHEMA.split(", ")][2:]
-    one = F.min(F.struct(*rest)).alias("d")
-    return found.mapInArrow(_run, SCHEMA).groupBy("repo_id", "id").agg(one).select("repo_id", "id", "d.*")
+    one = F.min(F.struct("distance", *rest[:-1])).alias("d")  # repeated contents give repeated rows, of which one is kept
+    return found.mapInArrow(_run, SCHEMA).groupBy("repo_id", "id").agg(one).select("repo_id", "id", *[F.col(f"d.{c}") for c in rest])

@@ -120,8 +120,8 @@ def p4_pairs(spark, folder):
 
 @R.query("p4_found")
 def p4_found(spark, folder):
-    """Functions and methods with documentation that says something."""
-    return _pairs(spark, folder).select("repo_id", "id").distinct()
+    """Functions and methods with documentation that says something, right before or in them."""
+    return _pairs(spark, folder).filter("distance = 0").select("repo_id", "id").distinct()
 
 
 def _provenance(spark, folder):

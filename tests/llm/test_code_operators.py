@@ -219,7 +219,7 @@ SYMS = "repo_id string, id string, name string, qualified_name string, kind stri
 
 def found_in(path, text, *symbols):
     rows = [dict(id=n, name=n, qualified_name=n, signature=s, start_line=a, end_line=b) for n, a, b, s in symbols]
-    return {rows[i]["name"]: (kind, body) for i, kind, body, _ in docpairs.pairs_of_file(path, text, rows)}
+    return {rows[i]["name"]: (kind, body) for i, kind, body, _, _ in docpairs.pairs_of_file(path, text, rows)}
 
 
 PROSE = "Sorts the open tickets by their age and status."
@@ -264,6 +264,41 @@ def test_assignment_keeps_touching_blocks():
     assert got["one"][1] == PROSE and got["two"][1].startswith("Another")
 
 
+def greedy(weights, blocks):
+    """Each block to its heaviest link, without an assignment."""
+    best = {}
+    for (b, f), w in weights.items():
+        if w > best.get(b, (0, None))[0]:
+            best[b] = w, f
+    return {b: f for b, (_, f) in best.items()}
+
+
+def described(path, text, symbols, assign=None):
+    rows = [dict(id=n, name=n, qualified_name=n, signature=s, start_line=a, end_line=b) for n, a, b, s in symbols]
+    return [(rows[i]["name"], kind, body.split("\n")[0], distance) for i, kind, body, _, distance in docpairs.pairs_of_file(path, text, rows, assign)]
+
+
+def test_the_assignment_decides_between_blocks_and_functions():
+    # a block across a gap that names the parameters of the function below is its documentation
+    gap = f"/// {PROSE}\n/// @param age the age in days\n\nfn sort(age: u8) {{}}\n"
+    assert described("a.rs", gap, [("sort", 4, 4, "fn sort(age: u8)")]) == [("sort", "comment", PROSE, 1)]
+    assert described("a.rs", gap.replace("@param age", "@param name"), [("sort", 4, 4, "fn sort(age: u8)")]) == []
+    assert described("a.rs", f"// Like `sort`: {PROSE}\n\nfn sort() {{}}\n", [("sort", 3, 3, "fn sort()")])[0][3] == 1
+    # a comment and a docstring compete for one function: the one that tells its parameters is kept, and only one
+    both = f"# Holds all windows of the day open.\ndef sort(age, n):\n    \"\"\"{PROSE}\n\n    :param age: days\n    :param n: number\n    \"\"\"\n"
+    one = [("sort", 2, 7, "def sort(age, n):")]
+    assert described("a.py", both, one) == [("sort", "docstring", PROSE, 0)]
+    assert len(described("a.py", both, one, greedy)) == 2
+    turned = f"# {PROSE}\n# :param age: days\ndef sort(age):\n    '''Holds all windows of the day open.'''\n"
+    assert described("a.py", turned, [("sort", 3, 4, "def sort(age):")]) == [("sort", "comment", PROSE, 0)]
+
+
+def test_declarations_of_one_line_share_their_documentation():
+    text = f"/// {PROSE}\nfn one() {{}} fn two() {{}}\n"
+    got = found_in("a.rs", text, ("one", 2, 2, "fn one()"), ("two", 2, 2, "fn two()"))
+    assert set(got) == {"one", "two"}
+
+
 def test_pairs_of_tables(spark):
     content = spark.createDataFrame([("r", "a.rs", f"/// {PROSE}\nfn f() {{}}\n", 1)] * 2 + [("r", "b.rs", None, 1)], CONTENT)
     now = spark.sql("select timestamp'2025-01-01'").first()[0]
