@@ -8,8 +8,9 @@ than in the item, so the covered share of an item also shows reordered passages.
 Documents stream past once. The items' seeds (``min_match`` words in a row) are held
 by every worker; a document is tiled only with items of which it holds a seed. That is
 the join of shared-token seeds with the small side in memory. The items come in blocks
-of at most ``BLOCK_WORDS`` words, each with a pass of its own, so a worker's memory is
-bounded however many items there are; nothing of the documents reaches the driver.
+of at most ``BLOCK_WORDS`` words. A set that fills more than one block takes a pass for each, whose result is written before the
+next block is sent out and the last one given up, so driver and workers hold one block however many items there are; a
+worker process builds the seeds of a block once. Nothing of the documents reaches the driver.
 
 Words are maximal runs of letters and digits after NFKC and lower-casing.
 Defined results: null or empty texts have no words; an item shorter than
@@ -21,12 +22,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import materialize
+
 #: Words of a seed and of the shortest tile.
 MIN_MATCH = 5
 #: Consecutive words that make a leak.
@@ -124,6 +128,19 @@ def seeds(items: list[tuple], min_match: int) -> dict[tuple, list[int]]:
     return index
 
 
+#: The seeds of the block that this worker process saw last, by the block's number.
+_HELD: dict[str, tuple[list, dict]] = {}
+
+
+def _block_of(name: str, shared, min_match: int) -> tuple[list, dict]:
+    """The items of a block and their seeds, built once a process."""
+    if name not in _HELD:
+        _HELD.clear()
+        items = shared.value
+        _HELD[name] = items, seeds(items, min_match)
+    return _HELD[name]
+
+
 SCHEMA = "doc_id bigint, item_id bigint, n_tiles int, longest int, covered int, item_words int"
 
 
@@ -143,13 +160,17 @@ def _blocks(items: DataFrame, block_words: int):
 
 def tiles(documents: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """For every document and item with a shared tile: number of tiles, the longest, words covered."""
-    spark, docs, out = documents.sparkSession, documents.select("doc_id", "text"), None
+    spark, docs, out, last = documents.sparkSession, documents.select("doc_id", "text"), None, None
     for block in _blocks(items, block_words):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            known = shared.value
-            index = seeds(known, min_match)
+        if last is not None:  # more than one block: the one before is worked off and given up first
+            held, part = last
+            part = materialize(part, "tiles")
+            held.destroy()
+            out = part if out is None else out.unionByName(part)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def run(batches, shared=shared, name=name):
+            known, index = _block_of(f"{name}/{min_match}", shared, min_match)
             for batch in batches:
                 cols: list[list] = [[] for _ in range(6)]
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -164,8 +185,9 @@ def tiles(documents: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, bl
                 names = [f.split()[0] for f in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-        part = docs.mapInArrow(run, SCHEMA)
-        out = part if out is None else out.unionByName(part)
+        last = shared, docs.mapInArrow(run, SCHEMA)
+    if last is not None:
+        out = last[1] if out is None else out.unionByName(last[1])
     if out is None:
         return spark.createDataFrame([], SCHEMA)
     best = F.max(F.struct("longest", "covered", "n_tiles", "item_words"))

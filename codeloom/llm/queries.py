@@ -74,6 +74,12 @@ def p10_found(spark, folder):
     return shared_spans.find(table(spark, folder, "documents")).pairs()
 
 
+@R.query("p10_classes")
+def p10_classes(spark, folder):
+    """Lists of documents that share a span, one row a document in each."""
+    return shared_spans.find(table(spark, folder, "documents")).classes()
+
+
 @R.query("p10_coverage")
 def p10_coverage(spark, folder):
     """How much of each document stands in another one too."""

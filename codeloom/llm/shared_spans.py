@@ -235,6 +235,15 @@ class SharedSpans:
     def __init__(self, spans: DataFrame, lists: DataFrame, documents: DataFrame):
         self._spans, self._lists, self._documents = spans, lists, documents
 
+    def classes(self) -> DataFrame:
+        """(class_id, n_docs, doc_id): the stored form, one row a document in each list of documents that share a span.
+
+        A list is named by a hash of its documents. The rows are linear in the documents, where pairs are quadratic:
+        ``pairs`` derives them last.
+        """
+        key = F.xxhash64("docs").alias("class_id")
+        return self._lists.select(key, F.size("docs").alias("n_docs"), F.explode("docs").alias("doc_id")).distinct()
+
     def pairs(self) -> DataFrame:
         """Distinct (doc_id_a, doc_id_b), the smaller first; long lists are paired in blocks."""
         parts = F.transform(

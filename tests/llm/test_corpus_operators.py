@@ -365,6 +365,11 @@ def test_shared_spans_equal_brute_force(spark, hot):
     pairs, cover = brute_pairs(docs, 60)
     assert {tuple(r) for r in found.pairs().collect()} == pairs
     assert {r.doc_id: r.shared_chars for r in found.coverage().collect()} == cover
+    classes: dict = {}
+    for r in found.classes().collect():
+        classes.setdefault((r.class_id, r.n_docs), set()).add(r.doc_id)
+    assert all(len(v) == k[1] for k, v in classes.items())
+    assert {p for v in classes.values() for p in itertools.combinations(sorted(v), 2)} == pairs
 
 
 def test_shared_spans_of_few_rows(spark):
