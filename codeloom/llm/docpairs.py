@@ -309,8 +309,7 @@ def pairs_of_file(path: str, text: str, symbols: list[dict], assign=None) -> lis
         signature = symbols[number]["signature"] or ""
         known = set(_LETTERS.findall(signature)) | set(re.findall(r"\w+", signature))
         named = bool(name and re.search(rf"\b{re.escape(name)}\b", body))
-        called = bool(name and re.search(rf"`{re.escape(name)}(?:\(\))?`|\b{re.escape(name)}\(", body))
-        if gap and not (tags[b] and tags[b] <= known or called):
+        if gap and not (tags[b] and tags[b] <= known or name and re.search(rf"`{re.escape(name)}(?:\(\))?`|\b{re.escape(name)}\(", body)):
             return  # implausible
         w = 10.0 if gap == 0 else 5.0 - gap
         if tags[b]:
