@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom import pipelines
 from codeloom.functions import extract
+from codeloom.operators import catalog
+from codeloom.plans.lookups import _LATEST, _before
 from codeloom.plans.registry import Registry, table
 from codeloom.session import work_path
 from codeloom.sources.store import Store
@@ -46,3 +49,22 @@ def stream_sync(spark, folder):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     sync.start(stream, store, work_path(spark, "offsets"), once=True).awaitTermination()
     return store.read("files").select("repo_id", "relative_path", "file_hash", "size_bytes")
+
+
+@R.query(
+    "pipeline_versions",
+    f"""WITH cut AS (SELECT to_timestamp((epoch(min(indexed_at)) + epoch(max(indexed_at))) / 2) AS t FROM files),
+      o AS (SELECT * FROM (SELECT DISTINCT f.* FROM files f, cut WHERE indexed_at <= t) QUALIFY row_number() OVER (PARTITION BY repo_id, relative_path ORDER BY indexed_at DESC) = 1),
+      n AS ({_LATEST}),
+      v AS (SELECT repo_id, relative_path, o.file_hash, 1 AS version FROM o
+        UNION ALL SELECT n.repo_id, n.relative_path, n.file_hash, CASE WHEN o.file_hash IS NULL THEN 1 ELSE 2 END FROM n LEFT JOIN o USING (repo_id, relative_path) WHERE o.file_hash IS DISTINCT FROM n.file_hash)
+    SELECT repo_id, relative_path AS path, sha256('dataset:' || repo_id || ':default' || chr(0) || 'file' || chr(0) || relative_path || chr(0) || file_hash) AS id, CAST(version AS BIGINT) AS version FROM v""",
+)
+def pipeline_versions(spark, folder):
+    """The datapoints after two runs of ``add``, on the catalog at the middle of its time and on that of now; a file's hash stands for its text."""
+    files = table(spark, folder, "files")
+    store = Store(spark, work_path(spark, "pipeline"))
+    for rows in (_before(files), files):
+        scan = catalog.latest(rows).withColumn("content", F.col("file_hash"))
+        pipelines.add(pipelines.Context(spark, store, scan))
+    return store.read("datapoints").select("repo_id", "path", "id", "version")

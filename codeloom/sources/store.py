@@ -45,6 +45,29 @@ class Store:
         fs.create(path(f"{self.root}/{table}/current-{v}"), True).close()
         return v
 
+    def write_all(self, tables: dict[str, DataFrame]) -> None:
+        """The next version of several tables: all are written before the first pointer is swapped."""
+        fs, path = self._fs()
+        at = {name: (self.version(name) or 0) + 1 for name in tables}
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={at[name]}")
+        for name, v in at.items():
+            fs.create(path(f"{self.root}/{name}/current-{v}"), True).close()
+
+    def migrate(self, table: str, schema: str) -> bool:
+        """Brings a table to a wider schema in a new version: new columns are null, no column is lost. False if it has them all."""
+        old = self.read(table)
+        want = self.spark.createDataFrame([], schema)
+        if set(want.columns) <= set(old.columns):
+            return False
+        self.write(table, want.unionByName(old, allowMissingColumns=True))
+        return True
+
+    def drop_repositories(self, tables: list[str], gone: DataFrame) -> None:
+        """The next version of the tables without the repositories ``gone`` (repo_id)."""
+        g = gone.select("repo_id").distinct()
+        self.write_all({t: self.read(t).join(g, "repo_id", "left_anti") for t in tables})
+
     def collect_garbage(self, table: str, keep: int = 1) -> list[int]:
         """Drops all versions but the newest ``keep``."""
         fs, path = self._fs()
