@@ -91,3 +91,26 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFram
 def blob_ids(files: DataFrame, tracked: DataFrame) -> DataFrame:
     """Files with the blob id of the tracked path of the same name, or null."""
     return files.drop("git_blob_id").join(tracked.select(*FILE_KEY, "git_blob_id").distinct(), FILE_KEY, "left")
+
+
+def upsert_repositories(old: DataFrame, new: DataFrame, indexed: bool = True) -> DataFrame:
+    """Repositories by id (repo_id, name, root, head, branch, indexed_at): a new row replaces the old one.
+
+    With ``indexed=False`` a repository was only opened: what is known of its last index, its head and time, stays.
+    """
+    both = new.select(*old.columns).alias("n").join(old.alias("o"), "repo_id", "full")
+    keep = set() if indexed else {"head", "indexed_at"}
+    known, came = F.col("o.root").isNotNull() | F.col("o.name").isNotNull(), F.col("n.root").isNotNull() | F.col("n.name").isNotNull()
+    pick = lambda c: F.when(came & ~(known & F.lit(c in keep)), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+    return both.select("repo_id", *[pick(c) for c in old.columns if c != "repo_id"])
+
+
+def first_entries(entries: DataFrame, term: str = "") -> DataFrame:
+    """Named entries of ranked folders (rank, file_name, name, path, hidden) whose name holds the term, by name and path.
+
+    Of entries with one file name that of the first folder counts, also if it is hidden: then none is shown. Case is ignored.
+    """
+    w = Window.partitionBy("file_name").orderBy("rank", "path")
+    once = entries.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    shown = once.filter(~F.coalesce("hidden", F.lit(False)) & F.col("name").isNotNull() & F.lower("name").contains(term.lower()))
+    return shown.orderBy(F.lower("name"), "path")

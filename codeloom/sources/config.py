@@ -10,8 +10,9 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import redact
+from codeloom.functions.text import redact, redact_text
 from codeloom.functions.vocab import parse_edge_kind
+from codeloom.sources.locks import locked
 
 
 @dataclass
@@ -75,23 +76,42 @@ def load_memories(spark: SparkSession, path: str) -> DataFrame:
     return ok.withColumn("claim", redact(F.col("claim"))).withColumn("status", F.lower("status"))
 
 
+def _rewrite(path: str, change) -> bool:
+    """Reads the log under its lock, applies ``change`` to its records and swaps it in one step; malformed lines are dropped, as on reading."""
+    with locked(path):
+        old = []
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                for line in f:
+                    try:
+                        r = json.loads(line)
+                    except ValueError:
+                        continue
+                    if isinstance(r, dict):
+                        old.append(r)
+        new = change(old)
+        if new is None:
+            return False
+        tmp = f"{path}.tmp"
+        with open(tmp, "w", encoding="utf-8") as f:
+            f.writelines(json.dumps({**r, "claim": redact_text(r["claim"])} if isinstance(r.get("claim"), str) else r, ensure_ascii=False) + "\n" for r in new)
+        os.replace(tmp, path)
+        return True
+
+
 def append_memory(path: str, record: dict) -> None:
-    """Replaces the claim of the same id, else appends; the log is swapped in one step."""
-    old = []
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            for line in f:
-                try:
-                    r = json.loads(line)
-                except ValueError:
-                    continue
-                old.append(r)
-    at = next((i for i, r in enumerate(old) if r.get("id") == record["id"]), None)
-    old = [record if i == at else r for i, r in enumerate(old)] + ([record] if at is None else [])
-    tmp = f"{path}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.writelines(json.dumps(r, ensure_ascii=False) + "\n" for r in old)
-    os.replace(tmp, path)
+    """Replaces the claim of the same id, else appends; claims are masked."""
+
+    def change(old):
+        at = next((i for i, r in enumerate(old) if r.get("id") == record["id"]), None)
+        return [record if i == at else r for i, r in enumerate(old)] + ([record] if at is None else [])
+
+    _rewrite(path, change)
+
+
+def delete_memory(path: str, memory_id: str) -> bool:
+    """False if the log has no claim of the id; then it stays as it is."""
+    return _rewrite(path, lambda old: [r for r in old if r.get("id") != memory_id] if any(r.get("id") == memory_id for r in old) else None)
 
 
 def note(spark: SparkSession, repo: str, session: str, text: str, limit: int = 2048 * 1024) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import stat
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,18 +31,22 @@ def find_root(start: str) -> str | None:
     return at
 
 
-def info(spark: SparkSession, root: str) -> DataFrame:
-    """One row: root, head (null before the first commit), branch, whether the tree is clean."""
+def head(root: str) -> str | None:
+    """The commit of HEAD; None before the first."""
     try:
-        head = _git(root, "rev-parse", "HEAD").strip()
+        return _git(root, "rev-parse", "--verify", "-q", "HEAD").strip() or None
     except RuntimeError:
-        head = None
+        return None
+
+
+def info(spark: SparkSession, root: str) -> DataFrame:
+    """One row: root, head (null before the first commit), branch, whether the tree is clean."""
     try:
         branch = _git(root, "symbolic-ref", "--short", "HEAD").strip()
     except RuntimeError:
         branch = "HEAD (detached)"
     clean = not _git(root, "status", "--porcelain").strip()
-    return spark.createDataFrame([(root, head, branch, clean)], "root string, head string, branch string, clean boolean")
+    return spark.createDataFrame([(root, head(root), branch, clean)], "root string, head string, branch string, clean boolean")
 
 
 COMMITS = "commit_id string, short_id string, summary string, author string, timestamp bigint"
@@ -161,3 +166,28 @@ def fingerprint(root: str) -> str:
             except OSError:
                 out.append(f"{path}:{entry[:2]}:-:-")
     return ";".join(out)
+
+
+AUDIT = "path string, tracked boolean, secret boolean, world_writable boolean"
+
+
+def security_audit(spark: SparkSession, root: str) -> DataFrame:
+    """Files whose names say that they hold credentials, tracked, untracked or ignored, and tracked or listed files that anyone may write."""
+    tracked = {p for p in _git(root, "ls-files", "-z").split("\0") if p}
+    listed = {p for p in _git(root, "ls-files", "-o", "--exclude-standard", "-z").split("\0") if p} - tracked
+    ignored = {p for p in _git(root, "ls-files", "-o", "-i", "--exclude-standard", "-z").split("\0") if p} - tracked - listed
+    rows = []
+    for path in sorted(tracked | listed | ignored):
+        try:
+            st = os.lstat(os.path.join(root, path))
+            loose = path not in ignored and stat.S_ISREG(st.st_mode) and bool(st.st_mode & 0o002)
+        except OSError:
+            loose = False
+        if secret_name(path) or loose:
+            rows.append((path, path in tracked, secret_name(path), loose))
+    return spark.createDataFrame(rows, AUDIT)
+
+
+def is_secure(audit: DataFrame) -> bool:
+    """No tracked secret and no file that anyone may write."""
+    return audit.filter("(tracked AND secret) OR world_writable").isEmpty()

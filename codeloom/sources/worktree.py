@@ -2,15 +2,17 @@
 
 ``spark.dataSource.register(WorktreeSource)``, then ``spark.read.format("worktree").load(root)``.
 Options: ``max_kb`` (2048), ``ignore`` (comma list of patterns), ``index_tests``, ``index_docs`` (true),
-``repo_id`` (else from the root's path). One partition a folder of the first level, and one for the root's own files, so a large tree is read
-by many tasks; each opens files without following links and skips what is too large, secret, ignored or
-unreadable. Where Git is there its own ignore rules decide, else ``.gitignore`` files do not.
+``repo_id`` (else from the root's path), ``ignore_file`` (the name of further ignore files, in Git's form). One partition a folder of the
+first level, and one for the root's own files: the driver lists the first level alone, and each task walks its folder, so a large tree is
+listed and read by many. Files are opened without following links; what is too large, secret, ignored or unreadable is skipped. Where Git
+is there its own ignore rules decide, else ``.gitignore`` files do not count, but those of ``ignore_file`` do.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 import stat
 import subprocess
 from datetime import UTC, datetime
@@ -90,9 +92,44 @@ def tracked_blobs(root: str) -> dict[str, str]:
     return {path: meta.split()[1] for meta, path in rows if meta.split()[2] == "0"}
 
 
+def _matcher(line: str) -> tuple[re.Pattern, bool, bool] | None:
+    """(pattern, negated, folders only) of a line of an ignore file."""
+    line = line.rstrip("\n").rstrip()
+    if not line or line.startswith("#"):
+        return None
+    negated, line = line.startswith("!"), line.removeprefix("!")
+    folder, line = line.endswith("/"), line.rstrip("/")
+    anchored, line = "/" in line, line.removeprefix("/")
+    out, i = "", 0
+    while i < len(line):
+        if line.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif line.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            c = line[i]
+            out, i = out + ("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c)), i + 1
+    return re.compile(("" if anchored else "(?:.*/)?") + out + "$"), negated, folder
+
+
+def ignored_by(rules: list, path: str) -> bool:
+    """Whether the path, or a folder that it lies in, is ignored; the last rule that fits decides."""
+    parts = path.split("/")
+    for k in range(1, len(parts) + 1):
+        hit = False
+        for pattern, negated, folder in rules:
+            if (not folder or k < len(parts)) and pattern.match("/".join(parts[:k])):
+                hit = not negated
+        if hit:
+            return True
+    return False
+
+
 class Subtree(InputPartition):
-    def __init__(self, names: list[str]):
-        self.names = names
+    """A folder of the first level, or the root's own files ("")."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
 
 
 class WorktreeReader(DataSourceReader):
@@ -100,38 +137,64 @@ class WorktreeReader(DataSourceReader):
         self.root = os.path.realpath(options["path"])
         self.limit = int(options.get("max_kb", "2048")) * 1024
         self.ignore = [p for p in options.get("ignore", "").split(",") if p.strip()]
+        self.ignore_file = options.get("ignore_file", "")
         self.tests = options.get("index_tests", "true").lower() == "true"
         self.docs = options.get("index_docs", "true").lower() == "true"
         self.repo = options.get("repo_id") or hashlib.sha256(self.root.encode()).hexdigest()[:16]
 
-    def _allowed(self) -> list[str] | None:
-        """Paths that Git does not ignore, or None without Git."""
+    def _allowed(self, folder: str) -> list[str] | None:
+        """Paths of a part that Git does not ignore, or None without Git."""
+        spec = f":(literal){folder}/" if folder else ":(glob)*"
         try:
-            args = ["git", "-C", self.root, "ls-files", "-co", "--exclude-standard", "-z"]
+            args = ["git", "-C", self.root, "ls-files", "-co", "--exclude-standard", "-z", "--", spec]
             out = subprocess.run(args, capture_output=True, check=True, timeout=300).stdout
         except (OSError, subprocess.SubprocessError):
             return None
         return [p for p in out.decode(errors="replace").split("\0") if p]
 
-    def _walk(self) -> list[str]:
+    def _walk(self, folder: str) -> list[str]:
+        if not folder:
+            return [e.name for e in os.scandir(self.root) if e.is_file(follow_symlinks=False)]
         out = []
-        for base, dirs, names in os.walk(self.root, followlinks=False):
+        for base, dirs, names in os.walk(os.path.join(self.root, folder), followlinks=False):
             dirs[:] = [d for d in dirs if d != ".git" and not os.path.islink(os.path.join(base, d))]
             out += [os.path.relpath(os.path.join(base, n), self.root) for n in names]
         return out
 
+    def _rules(self, folder: str) -> list:
+        """Rules of a folder's own ignore file."""
+        try:
+            with open(os.path.join(self.root, folder, self.ignore_file), encoding="utf-8") as f:
+                return [m for line in f if (m := _matcher(line))]
+        except OSError:
+            return []
+
+    def _names(self, folder: str) -> list[str]:
+        found = self._allowed(folder)
+        rules: dict[str, list] = {}
+
+        def ours(path: str) -> bool:
+            """Whether an ignore file of a folder around the path ignores it."""
+            parts = path.split("/")
+            for k in range(len(parts)):
+                at = "/".join(parts[:k])
+                if at not in rules:
+                    rules[at] = self._rules(at)
+                if rules[at] and ignored_by(rules[at], "/".join(parts[k:])):
+                    return True
+            return False
+
+        names = sorted(set(self._walk(folder) if found is None else found))
+        return [p for p in names if not ignored_path(p, self.ignore) and not secret_name(p) and not (self.ignore_file and ours(p))]
+
     def partitions(self) -> list[Subtree]:
-        found = self._allowed()
-        tops: dict[str, list[str]] = {}
-        for p in sorted(set(self._walk() if found is None else found)):
-            if ignored_path(p, self.ignore) or secret_name(p):
-                continue
-            tops.setdefault(p.split("/", 1)[0] if "/" in p else "", []).append(p)
-        return [Subtree(v) for v in tops.values()] or [Subtree([])]
+        tops = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and e.name != ".git")
+        return [Subtree(""), *map(Subtree, tops)]
 
     def read(self, partition: Subtree):
-        blobs, now = tracked_blobs(self.root) if partition.names else {}, datetime.now(UTC)
-        for path in partition.names:
+        names = self._names(partition.folder)
+        blobs, now = tracked_blobs(self.root) if names else {}, datetime.now(UTC)
+        for path in names:
             language = language_of(path)
             kind = kind_of(path, language)
             if kind == "test" and not self.tests or kind == "documentation" and not self.docs:

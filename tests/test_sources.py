@@ -44,6 +44,99 @@ def test_worktree_scan(spark, tree):
     assert {r.relative_path for r in less.collect()} & {"tests/auth_test.rs", "docs/architecture.md"} == set()
 
 
+@pytest.mark.parametrize("with_git", [True, False])
+def test_own_ignore_file_and_parts(spark, tree, with_git):
+    import shutil
+
+    from codeloom.sources.worktree import WorktreeReader
+
+    if not with_git:
+        shutil.rmtree(tree / ".git")
+    (tree / "src/deep/gen").mkdir(parents=True)
+    for p in ("src/deep/gen/a.rs", "src/deep/b.rs", "src/deep/keep.log", "src/deep/x.log"):
+        (tree / p).write_text("x\n")
+    (tree / ".loomignore").write_text("# notes\n*.log\n!keep.log\ngen/\n/docs/\n")
+    spark.dataSource.register(WorktreeSource)
+    rows = {r.relative_path for r in spark.read.format("worktree").option("ignore_file", ".loomignore").load(str(tree)).collect()}
+    assert {"src/auth.rs", "src/deep/b.rs", "src/deep/keep.log", "big.txt"} <= rows
+    assert not rows & {"src/deep/gen/a.rs", "src/deep/x.log", "docs/architecture.md", ".env", "link.rs"}
+    assert ("build/x.rs" in rows) is not with_git
+    assert {p.folder for p in WorktreeReader({"path": str(tree)}).partitions()} >= {"", "src", "tests"}
+
+
+def test_security_audit(spark, tree):
+    root = str(tree)
+    (tree / "src/auth.rs").chmod(0o666)
+    (tree / "build/id_rsa").write_text("x")
+    audit = git.security_audit(spark, root)
+    got = {r.path: (r.tracked, r.secret, r.world_writable) for r in audit.collect()}
+    assert got == {"src/auth.rs": (True, False, True), ".env": (False, True, False), "build/id_rsa": (False, True, False)}
+    assert not git.is_secure(audit)
+    (tree / "src/auth.rs").chmod(0o644)
+    assert git.is_secure(git.security_audit(spark, root))
+
+
+def test_watching(tmp_path, tree):
+    from codeloom.streaming.watch import Registry, Watcher, resolve_root
+
+    r = Registry(str(tmp_path / "state/watched.json"))
+    assert r.add(str(tree)) and not r.add(str(tree)) and r.add("/nowhere") and r.list() == sorted([str(tree), "/nowhere"])
+    heads, done = {}, []
+
+    def sync(root):
+        done.append(root)
+        if len(done) == 2:
+            raise RuntimeError("first try")
+        heads[root] = git.head(root)
+
+    w = Watcher(r, sync, heads.get)
+    assert w.sync_all() == 0 and done == [str(tree)]
+    assert w.sync_all() == 0 and len(done) == 1  # nothing changed
+    (tree / "src/auth.rs").write_text("fn other() {}\n")
+    assert w.sync_all() == 1 and w.sync_all() == 0 and len(done) == 3  # a failure is tried again
+    assert w.sync_all() == 0 and len(done) == 3
+    assert r.remove("/nowhere") and not r.remove("/nowhere")
+    Watcher(r, sync, heads.get, indexed=lambda root: False).run(passes=1)
+    assert len(done) == 3
+    ask = lambda **p: {"method": "initialize", "params": p}
+    assert resolve_root({"params": {"arguments": {"path": "/a"}, "repo_path": "/b"}}, None, [], "/d") == ("/a", "/a")
+    assert resolve_root({"params": {"repo_path": "/b"}}, "/s", [], "/d") == ("/b", "/b")
+    assert resolve_root(ask(rootUri="file:///x%20y"), None, [], "/d")[0] == "/x y"
+    assert resolve_root(ask(workspaceFolders=[{"uri": "http://q"}, {"uri": "file:///w"}], rootPath="/p"), None, [], "/d")[0] == "/w"
+    assert resolve_root({"params": {}}, "/s", ["/w"], "/d") == ("/s", "/s") and resolve_root({}, None, ["/w"], "/d") == ("/w", "/w")
+    assert resolve_root({}, None, ["/w", "/v"], "/d") == ("/d", None)
+
+
+def test_repositories_entries_and_identities(spark):
+    from codeloom.functions import ids, text
+
+    schema = "repo_id string, name string, root string, head string, branch string, indexed_at int"
+    old = spark.createDataFrame([("r", "n", "/r", "c1", "main", 1), ("q", "n", "/q", None, "main", 1)], schema)
+    new = spark.createDataFrame([("r", "m", "/r2", "c2", "dev", 2), ("s", "n", "/s", None, "main", 2)], schema)
+    rows = lambda df: {r.repo_id: tuple(r)[1:] for r in df.collect()}
+    assert rows(catalog.upsert_repositories(old, new)) == {"r": ("m", "/r2", "c2", "dev", 2), "q": ("n", "/q", None, "main", 1), "s": ("n", "/s", None, "main", 2)}
+    assert rows(catalog.upsert_repositories(old, new, indexed=False))["r"] == ("m", "/r2", "c1", "dev", 1)
+    e = spark.createDataFrame([(0, "a.desktop", "Alpha", "/u/a", True), (1, "a.desktop", "Alpha", "/s/a", False), (1, "b.desktop", "beta", "/s/b", False), (0, "c.desktop", "Abet", "/u/c", None)],
+                              "rank int, file_name string, name string, path string, hidden boolean")
+    assert [r.name for r in catalog.first_entries(e).collect()] == ["Abet", "beta"] and [r.name for r in catalog.first_entries(e, "ETA").collect()] == ["beta"]
+    f = spark.createDataFrame([("r", "a", "x"), ("r", "b", "x")], "repo_id string, relative_path string, git_blob_id string")
+    t = spark.createDataFrame([("r", "a", "b1")], "repo_id string, relative_path string, git_blob_id string")
+    assert {r.relative_path: r.git_blob_id for r in catalog.blob_ids(f, t).collect()} == {"a": "b1", "b": None}
+    one = spark.createDataFrame([("/srv/x", "nonsense", "2025-01-02T03:04:05Z")], "p string, bad string, good string")
+    r = one.select(text.repo_id(F.col("p")).alias("id"), text.timestamp_or_now(F.col("good")).alias("g"), text.timestamp_or_now(F.col("bad")).alias("b"),
+                   ids.declaration_id(F.lit("a.rs"), F.lit("m"), F.lit("f"), F.lit(7)).alias("d")).first()
+    import hashlib
+
+    assert r.id == hashlib.sha256(b"/srv/x").hexdigest()[:16] and r.g.year == 2025 and r.b.year > 2025 - 1 and r.d == "a.rs::m::f@7"
+
+
+def test_claims_are_deleted(spark, tmp_path):
+    m = str(tmp_path / "m.jsonl")
+    config.append_memory(m, {"id": "1", "claim": "ghp_" + "a" * 36})
+    assert "ghp_" not in open(m).read()
+    assert config.delete_memory(m, "1") and not config.delete_memory(m, "1") and open(m).read() == ""
+
+
 def test_git_tables(spark, tree):
     root = str(tree)
     assert git.find_root(str(tree / "src")) == root
