@@ -1,13 +1,17 @@
 """Ranked full-text search: BM25 over path and content, phrases, snippets.
 
-The query's words are few, so no posting list of the corpus is built: each text is reduced in the
+For one query no posting list is built: each text is reduced in the
 scan to the counts of the query's phrases and its length. One row of corpus statistics
 goes back to the driver; the ranking is a top-k without a full sort.
+
+``postings`` keeps an index of a corpus: a row a word and text with its places. It is brought up to date by the texts that changed,
+and ``bm25_index`` answers any number of queries at once from it, without reading a text.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -124,6 +128,74 @@ def bm25_tasks(corpus: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
     return top.filter(F.col("idx") < k).select("task_id", "path", "rank", "idx")
 
 
+_PLAIN = re.compile(r"[^\W_]+")
+POSTINGS = "repo_id string, path string, len bigint, part int, term string, places array<int>"
+
+
+def _posting_rows(stemmed: bool):
+    def run(batches):
+        for b in batches:
+            out = []
+            for repo, path, content in zip(b["repo_id"], b["path"], b["content"], strict=True):
+                columns = [(fts.fold(t) if stemmed else _PLAIN.findall(t.lower())) if t else [] for t in (path, content)]
+                size = sum(map(len, columns))
+                out.append((repo, path, size, -1, None, []))  # the text itself, also if it has no word
+                for part, tokens in enumerate(columns):
+                    at: dict[str, list[int]] = {}
+                    for i, w in enumerate(tokens):
+                        at.setdefault(fts.stem(w) if stemmed else w, []).append(i)
+                    out += [(repo, path, size, part, w, places) for w, places in at.items()]
+            yield pd.DataFrame(out, columns=["repo_id", "path", "len", "part", "term", "places"])
+
+    return run
+
+
+def postings(corpus: DataFrame, stemmed: bool = True) -> DataFrame:
+    """The index of (repo_id, path, content), one row a text: a row each word of a text, and one (part -1) for its length."""
+    return corpus.select("repo_id", "path", "content").mapInPandas(_posting_rows(stemmed), POSTINGS)
+
+
+def update_postings(index: DataFrame, changed: DataFrame, gone: DataFrame, stemmed: bool = True) -> DataFrame:
+    """The index after texts changed or came (repo_id, path, content) and others went (repo_id, path)."""
+    key = ["repo_id", "path"]
+    touched = changed.select(*key).unionByName(gone.select(*key)).distinct()
+    return index.join(touched, key, "left_anti").select(index.columns).unionByName(postings(changed, stemmed))
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _worded(query: pd.Series) -> pd.Series:
+    return query.map(lambda q: [_PLAIN.findall(" ".join(p).lower()) for p in fts.phrases_of(q)] if q else [])
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _stemmed(query: pd.Series) -> pd.Series:
+    return query.map(lambda q: [[fts.stem(w) for w in fts.fold(" ".join(p))] for p in fts.phrases_of(q)] if q else [])
+
+
+def bm25_index(index: DataFrame, queries: DataFrame, k: int = 10, stemmed: bool = True) -> DataFrame:
+    """(query_id, path, rank, idx): the ``k`` best texts of each query (query_id, repo_id, query) by an index of ``postings``.
+
+    Words of a query meet the index in one equi-join on (repository, word). A phrase stands where all its words give one start. All
+    phrases must occur; ties go by path.
+    """
+    phrases = queries.select("query_id", "repo_id", F.posexplode((_stemmed if stemmed else _worded)("query")).alias("n", "words"))
+    words = phrases.select("query_id", "repo_id", "n", F.size("words").alias("size"), F.posexplode("words").alias("i", "term"))
+    sizes = index.filter("part = -1")
+    stats = sizes.groupBy("repo_id").agg(F.count("*").alias("texts"), F.avg("len").alias("avg"))
+    places = words.join(index.filter("part >= 0"), ["repo_id", "term"]).select("query_id", "repo_id", "n", "size", "i", "path", "len", "part", F.explode("places").alias("at"))
+    starts = places.groupBy("query_id", "repo_id", "n", "size", "path", "len", "part", (F.col("at") - F.col("i")).alias("start")).agg(F.count("*").alias("held"))
+    hits = starts.filter("held = size").groupBy("query_id", "repo_id", "n", "path", "len").agg(F.count("*").alias("f"))
+    hits = materialize(hits, "phrase-hits")
+    d = hits.groupBy("query_id", "n").agg(F.count("*").alias("d"))
+    asked = phrases.groupBy("query_id").agg(F.count("*").alias("words"))
+    idf = F.greatest(F.log((F.col("texts") - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(LEAST_IDF))
+    part = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    scored = hits.join(d, ["query_id", "n"]).join(stats, "repo_id").groupBy("query_id", "path").agg(F.sum(part).alias("rank"), F.count("*").alias("held"))
+    order = Window.partitionBy("query_id").orderBy("rank", "path")
+    top = scored.join(asked, "query_id").filter("held = words").withColumn("idx", F.row_number().over(order) - 1)
+    return top.filter(F.col("idx") < k).select("query_id", "path", "rank", "idx")
+
+
 def snippet_of(text: str, terms: set[str], size: int = 16, mark: tuple[str, str] = ("<b>", "</b>"), gap: str = "...") -> str:
     """The run of ``size`` words with the most distinct terms, then the most hits; the terms marked."""
     spans = [(m.start(), m.end()) for m in fts._WORD.finditer(text)]

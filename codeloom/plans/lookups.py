@@ -8,6 +8,7 @@ from codeloom.functions import tasks
 from codeloom.operators import catalog, search, symbols, versions
 from codeloom.plans.registry import Registry, table
 from codeloom.plans.scalars import _WORDS, _list
+from codeloom.session import materialize
 
 R = Registry()
 
@@ -245,6 +246,24 @@ def bm25_phrase(spark, folder):
     return search.bm25(_docs(spark, folder), _PHRASE.replace(" ", "_")).withColumn("rank", F.round("rank", 6))
 
 
+_BATCH = [(1, "symbol commit"), (2, "stale_budget"), (3, "commit"), (4, "symbol"), (5, "zzzz commit"), (6, "")]
+
+
+@R.query(
+    "bm25_batch",
+    " UNION ALL ".join(
+        f"SELECT {n} AS query_id, path, rank, CAST(row_number() OVER (ORDER BY rank, path) - 1 AS INT) AS idx FROM ({_bm25_sql([_pair(*w.split('_')) if '_' in w else _single(w) for w in q.split()], 10)})"
+        for n, q in _BATCH if q
+    ),
+)
+def bm25_batch(spark, folder):
+    """The ten best documents of each of several queries, from one index."""
+    corpus = _docs(spark, folder).withColumn("repo_id", F.lit("all"))
+    index = materialize(search.postings(corpus, stemmed=False), "postings")
+    asked = spark.createDataFrame([(n, "all", q) for n, q in _BATCH], "query_id int, repo_id string, query string")
+    return search.bm25_index(index, asked, 10, stemmed=False).withColumn("rank", F.round("rank", 6))
+
+
 @R.query("bm25_top_k_stemmed")
 def bm25_top_k_stemmed(spark, folder):
     """The ten best documents by stems."""

@@ -29,6 +29,22 @@ def test_search_of_all_tasks_equals_search_of_each(spark):
     assert got == want and {t for t, _ in got} == {1, 2, 3, 4}
 
 
+def test_an_index_answers_as_the_texts_do(spark):
+    texts = ["token rotation and tokens", "rotate the token", "rotate_token now", "nothing here", None, "the rotation of rotate_token: rotating rotate token"]
+    rows = [("a", f"src/f{i}.rs", t) for i, t in enumerate(texts)]
+    corpus = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    asked = [(1, "rotate token"), (2, "rotating"), (3, "rotate_token"), (4, "the the rotation"), (5, "absent token"), (6, ""), (7, None), (8, "src")]
+    queries = spark.createDataFrame([(n, "a", q) for n, q in asked], "query_id int, repo_id string, query string")
+    index = search.postings(corpus)
+    changed = spark.createDataFrame([("a", "src/f3.rs", "rotate token"), ("a", "src/new.rs", "token rotate token")], corpus.schema)
+    later = search.update_postings(index, changed, corpus.filter("path = 'src/f1.rs'").select("repo_id", "path"))
+    now = corpus.filter("path NOT IN ('src/f1.rs', 'src/f3.rs')").unionByName(changed)
+    for idx, texts in ((index, corpus), (later, now)):
+        got = {(r.query_id, r.idx): (r.path, round(r["rank"], 9)) for r in search.bm25_index(idx, queries, 3).collect()}
+        want = {(n, i): (r.path, round(r["rank"], 9)) for n, q in asked for i, r in enumerate(search.bm25(texts, q or "", 3, stemmed=True).collect())}
+        assert got == want and len({n for n, _ in got}) >= 5
+
+
 def test_dirty_files_go_all_at_once_and_last():
     parts = {"commits": [{"commit_id": "c" * 40}] * 3, "verified": [{"claim": "v" * 80}], "diagnostic": [{"claim": "d" * 80}], "dirty": ["a" * 30, "b" * 30]}
     whole = context.compile_package("do it", 4000, [], [], [], [], {}, **parts)
