@@ -232,8 +232,8 @@ def _window_rows(gram: int, span: int):
 class SharedSpans:
     """The result: ``pairs()`` and ``coverage()`` read the tables that ``find`` has written."""
 
-    def __init__(self, spans: DataFrame, lists: DataFrame, documents: DataFrame):
-        self._spans, self._lists, self._documents = spans, lists, documents
+    def __init__(self, spans: DataFrame, lists: DataFrame, documents: DataFrame, members: DataFrame | None = None):
+        self._spans, self._lists, self._documents, self._members = spans, lists, documents, members
 
     def classes(self) -> DataFrame:
         """(class_id, n_docs, doc_id): the stored form, one row a document in each list of documents that share a span.
@@ -242,20 +242,32 @@ class SharedSpans:
         ``pairs`` derives them last.
         """
         key = F.xxhash64("docs").alias("class_id")
-        return self._lists.select(key, F.size("docs").alias("n_docs"), F.explode("docs").alias("doc_id")).distinct()
+        short = self._lists.select(key, F.size("docs").cast("bigint").alias("n_docs"), F.explode("docs").alias("doc_id")).distinct()
+        return short if self._members is None else short.unionByName(self._members)
 
     def pairs(self) -> DataFrame:
         """Distinct (doc_id_a, doc_id_b), the smaller first; long lists are paired in blocks."""
+        lists = self._lists
+        if self._members is not None:
+            lists = lists.unionByName(self._parts())
         parts = F.transform(
             F.sequence(F.lit(0), F.floor((F.size("docs") - 1) / CHUNK).cast("int")),
             lambda k: F.slice("docs", k * CHUNK + 1, F.lit(CHUNK)),
         )
-        blocks = self._lists.select(parts.alias("p")).select("p", F.posexplode("p").alias("i", "a"))
+        blocks = lists.select(parts.alias("p")).select("p", F.posexplode("p").alias("i", "a"))
         blocks = blocks.select("a", F.explode(F.slice("p", F.col("i") + 1, F.size("p"))).alias("b"))
         left = blocks.select(F.explode("a").alias("doc_id_a"), "b")
         both = left.select("doc_id_a", F.explode("b").alias("doc_id_b")).filter("doc_id_a < doc_id_b")
         return both.distinct()
 
+    def _parts(self) -> DataFrame:
+        """Lists of at most two chunks that together pair all members of the long lists: no list is gathered as a whole."""
+        salted = self._members.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("n_docs") / CHUNK)))
+        part = salted.groupBy("class_id", "salt").agg(F.collect_set("doc_id").alias("docs"))
+        a = part.select("class_id", F.col("salt").alias("sa"), F.col("docs").alias("da"))
+        b = part.select("class_id", F.col("salt").alias("sb"), F.col("docs").alias("db"))
+        return a.join(b, "class_id").filter("sa <= sb").select(F.array_sort(F.array_union("da", "db")).alias("docs"))
+
     def spans(self) -> DataFrame:
         """Maximal intervals (doc_id, start, stop) of each document that stand in another one too."""
         from pyspark.sql import Window
@@ -313,13 +325,13 @@ def find(
     spans = found.filter("kind = 0").select("doc_id", "start", "stop")
     lists = found.filter("kind = 1").select("docs")
     if passage.filter("hot").limit(1).count():
-        h_spans, h_lists = _hot(passage, gram, span)
-        spans, lists = spans.unionByName(h_spans), lists.unionByName(h_lists)
+        h_spans, members = _hot(passage, gram, span)
+        return SharedSpans(spans.unionByName(h_spans), lists.distinct(), documents, members)
     return SharedSpans(spans, lists.distinct(), documents)
 
 
 def _hot(passage: DataFrame, gram: int, span: int) -> tuple[DataFrame, DataFrame]:
-    """Spans and document lists of hot anchors, by window hashes. Lists hold at most two chunks each."""
+    """Spans and (class_id, n_docs, doc_id) of hot anchors, by window hashes; linear in the passages."""
     key = ["h1", "h2"]
     rows = passage.filter("hot").select("doc_id", "start", "passage")
     rows = rows.mapInArrow(_window_rows(gram, span), "h1 bigint, h2 bigint, doc_id bigint, start bigint")
@@ -332,11 +344,5 @@ def _hot(passage: DataFrame, gram: int, span: int) -> tuple[DataFrame, DataFrame
     spans = rows.join(group.select(*key), key, "left_semi").select("doc_id", "start", (F.col("start") + span).alias("stop"))
     # Of windows with the same documents one stands for all.
     one = group.groupBy("n", "x1", "x2").agg(F.min(F.struct(*key)).alias("k")).select("n", "k.*")
-    salted = who.join(one, key).withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("n") / CHUNK))
-    )
-    part = salted.groupBy(*key, "salt").agg(F.collect_set("doc_id").alias("docs"))
-    a = part.select(*key, F.col("salt").alias("sa"), F.col("docs").alias("da"))
-    b = part.select(*key, F.col("salt").alias("sb"), F.col("docs").alias("db"))
-    lists = a.join(b, key).filter("sa <= sb").select(F.array_sort(F.array_union("da", "db")).alias("docs"))
-    return spans, lists
+    members = who.join(one, key).select(F.xxhash64(*key).alias("class_id"), F.col("n").alias("n_docs"), "doc_id")
+    return spans, materialize(members, "hot-classes")
