@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import extract, ids, paths, text
@@ -77,6 +77,15 @@ class Context:
         return ids.dataset_id(F.col("repo_id"), self.dataset)
 
 
+def _counted(ctx: Context, df: DataFrame, name: str, **counters) -> DataFrame:
+    """A written table, and how many of its rows meet each condition: counted on the way, without a pass of their own."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[F.count_if(c).alias(n) for n, c in counters.items()]), name)
+    for n, v in seen.get.items():
+        ctx.count(n, v)
+    return out
+
+
 Stage = Callable[[Context], None]
 
 
@@ -87,14 +96,12 @@ def sync_catalog(ctx: Context) -> None:
     """Files, symbols and references after the scan; datapoints whose file is gone go too."""
     old, new = ctx.table("files"), catalog.latest(ctx.scan.select(*FILE))
     gaps = catalog.missing_identity(ctx.table("references"))
-    change = materialize(catalog.diff(old.limit(0) if ctx.full else old, new, gaps), "changes")
+    change = _counted(ctx, catalog.diff(old.limit(0) if ctx.full else old, new, gaps), "changes", files_updated=F.lit(True))
     changed = change.filter("change <> 'deleted'").select(*catalog.FILE_KEY)
     gone = old.join(new.select(*catalog.FILE_KEY), catalog.FILE_KEY, "left_anti").select(*catalog.FILE_KEY)
     code = ctx.scan.filter(F.col("kind").isin("source", "test") & F.col("content").isNotNull()).join(changed, catalog.FILE_KEY, "left_semi")
     code = code.select("repo_id", "relative_path", "content").distinct()
-    symbols, references = materialize(extract.extract_symbols(code), "new-symbols"), extract.extract_references(code)
-    ctx.count("files_updated", changed.count() + gone.count())
-    ctx.count("symbols_written", symbols.count())
+    symbols, references = _counted(ctx, extract.extract_symbols(code), "new-symbols", symbols_written=F.lit(True)), extract.extract_references(code)
     ctx.put("files", catalog.replace(old, new.join(changed, catalog.FILE_KEY, "left_semi"), gone, catalog.FILE_KEY))
     touched = changed.unionByName(gone)
     for name, column, rows in (("symbols", "file_path", symbols), ("references", "source_file", references)):
@@ -113,15 +120,14 @@ def put_points(ctx: Context, arrivals: DataFrame) -> None:
     old = ctx.table("datapoints")
     last = versions.latest_version(old).select(*POINT_KEY, F.col("id").alias("_last"), F.col("version").alias("_v"))
     a = arrivals.dropDuplicates(POINT_KEY).join(last, POINT_KEY, "left")
-    a = materialize(a.withColumn("_same", F.coalesce(F.col("_last") == F.col("id"), F.lit(False))), "arrivals")
+    same = F.coalesce(F.col("_last") == F.col("id"), F.lit(False))
+    a = _counted(ctx, a.withColumn("_same", same), "arrivals", datapoints_inserted=~F.col("_same"), datapoints_unchanged=F.col("_same"))
     fresh = a.filter("NOT _same")
     first = old.select(*POINT_KEY, "id", F.col("created_at").alias("_first"))
     rows = fresh.join(first, [*POINT_KEY, "id"], "left").withColumn("created_at", F.coalesce("_first", F.current_timestamp()))
     rows = rows.withColumn("version", F.coalesce("_v", F.lit(0)) + 1)
     names = [f.split()[0] for f in POINT.split(", ")]
     kept = old.join(fresh.select(*POINT_KEY, "id"), [*POINT_KEY, "id"], "left_anti")
-    ctx.count("datapoints_inserted", fresh.count())
-    ctx.count("datapoints_unchanged", a.filter("_same").count())
     ctx.put("datapoints", kept.select(names).unionByName(rows.select(names)))
     edges = fresh.filter("_last IS NOT NULL").select(
         "repo_id", "dataset_id", F.col("id").alias("src_id"), F.col("_last").alias("dst_id"), F.lit("supersedes").alias("kind"), F.lit(None).cast("string").alias("payload")
@@ -131,15 +137,14 @@ def put_points(ctx: Context, arrivals: DataFrame) -> None:
 
 def _edges(ctx: Context, edges: DataFrame) -> None:
     allowed = [k for k in graph.EDGE_KINDS if ctx.ontology.allows_edge(k)]
-    edges = materialize(edges, "new-edges")
-    ctx.count("edges", edges.filter(F.col("kind").isin(allowed)).count())
+    edges = _counted(ctx, edges, "new-edges", edges=F.col("kind").isin(allowed))
     ctx.put("edges", graph.upsert_edges(ctx.table("edges"), edges, allowed))
 
 
 def _nodes(ctx: Context, nodes: DataFrame) -> None:
-    kinds = [r[0] for r in nodes.select("kind").distinct().collect() if ctx.ontology.allows_node(r[0])]
-    nodes = materialize(nodes.filter(F.col("kind").isin(kinds)), "new-nodes")
-    ctx.count("nodes", nodes.count())
+    if ctx.ontology.node_kinds is not None:
+        nodes = nodes.filter(F.col("kind").isin(ctx.ontology.node_kinds))
+    nodes = _counted(ctx, nodes, "new-nodes", nodes=F.lit(True))
     ctx.put("nodes", graph.upsert_nodes(ctx.table("nodes"), nodes))
 
 
@@ -205,14 +210,13 @@ def write_chunks(ctx: Context) -> None:
     doc = paths.is_document(F.col("kind"), F.col("is_doc"), F.col("relative_path"))
     w = versions.chunk_windows(rows.select("repo_id", "relative_path", F.when(doc, "docs").otherwise("worktree").alias("source_kind"), "content"))
     name = F.concat("relative_path", F.lit("#"), F.col("start_byte").cast("string"), F.lit("-"), F.col("end_byte").cast("string"))
-    w = materialize(w.select("repo_id", "relative_path", name.alias("path"), F.lit("").alias("content"), "source_kind", "start_byte", "end_byte"), "windows")
+    w = _counted(ctx, w.select("repo_id", "relative_path", name.alias("path"), F.lit("").alias("content"), "source_kind", "start_byte", "end_byte"), "windows", chunks=F.lit(True))
     points = ctx.table("datapoints")
     owner = ids.chunk_owner(F.col("kind"), F.col("path"))
     seen = rows.select("repo_id", F.col("relative_path").alias("_owner"))
     chunks = points.filter("kind = 'chunk'").withColumn("_owner", owner).join(seen, ["repo_id", "_owner"], "left_anti").drop("_owner")
     ctx.put("datapoints", points.filter("kind <> 'chunk'").unionByName(chunks))
     arrivals = _points(ctx, w, "chunk", source_kind=F.col("source_kind"), start_byte=F.col("start_byte"), end_byte=F.col("end_byte"))
-    ctx.count("chunks", w.count())
     put_points(ctx, arrivals)
     file = arrivals.withColumn("_file", ids.chunk_owner(F.col("kind"), F.col("path")))
     gone = ctx.table("nodes").filter("kind = 'chunk'").join(ctx.table("datapoints").select("id").distinct(), "id", "left_anti").select("id")
