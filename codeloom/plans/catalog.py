@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from codeloom.plans import knowledge, lookups, references, scalars, streams
+from codeloom.plans import knowledge, lookups, references, scalars, streams, upkeep
 from codeloom.plans.registry import Registry
 
-MODULES = [references, scalars, lookups, knowledge, streams]
+MODULES = [references, scalars, lookups, knowledge, upkeep, streams]
 
 
 def collect(modules=None) -> Registry:

@@ -130,13 +130,13 @@ def _recent(spark, folder):
     return _commits(spark, folder).withColumn("n", F.row_number().over(w)).filter("n <= 15")
 
 
-@R.query(
-    "commit_links",
-    """WITH d AS (SELECT DISTINCT repo_id, commit_id, CASE WHEN kind = 'chunk' THEN regexp_replace(path, '#[0-9]+-[0-9]+$', '') ELSE path END AS path FROM datapoints WHERE commit_id IS NOT NULL)
+_LINKS = """WITH d AS (SELECT DISTINCT repo_id, commit_id, CASE WHEN kind = 'chunk' THEN regexp_replace(path, '#[0-9]+-[0-9]+$', '') ELSE path END AS path FROM datapoints WHERE commit_id IS NOT NULL)
     SELECT DISTINCT d.repo_id, 'dataset:' || d.repo_id || ':default' AS dataset_id, 'commit:dataset:' || d.repo_id || ':default:' || commit_id AS src_id,
       'file:dataset:' || d.repo_id || ':default:' || d.path AS dst_id, 'touched-in-commit' AS kind FROM d
-    WHERE EXISTS (SELECT 1 FROM datapoints f WHERE f.kind = 'file' AND f.repo_id = d.repo_id AND f.path = d.path)""",
-)
+    WHERE EXISTS (SELECT 1 FROM datapoints f WHERE f.kind = 'file' AND f.repo_id = d.repo_id AND f.path = d.path)"""
+
+
+@R.query("commit_links", _LINKS)
 def commit_links(spark, folder):
     """Edges from the commits that datapoints name to the recorded files of their paths."""
     d = table(spark, folder, "datapoints")
@@ -335,9 +335,7 @@ def context_symbols(spark, folder):
     return context.candidate_symbols(_context(spark, folder)[0]).select("task_id", "id", "term", "score", "rank")
 
 
-@R.query(
-    "context_file_scores",
-    f"""WITH {_MATCH}, {_REFS}, nm AS (SELECT task_id, repo_id, name, count(*) AS times FROM m GROUP BY 1, 2, 3),
+_FILE_SCORES = f"""WITH {_MATCH}, {_REFS}, nm AS (SELECT task_id, repo_id, name, count(*) AS times FROM m GROUP BY 1, 2, 3),
       un AS (SELECT DISTINCT repo_id, name FROM nm),
       ff AS (SELECT repo_id, relative_path, bool_or(is_test) AS is_test FROM now_files GROUP BY 1, 2),
       j AS (SELECT r.*, f.is_test FROM refs r JOIN ff f ON f.repo_id = r.repo_id AND f.relative_path = r.source_file),
@@ -350,8 +348,10 @@ def context_symbols(spark, folder):
         UNION ALL SELECT task_id, source_file, 4.0 * times, times FROM nm JOIN refs r ON r.repo_id = nm.repo_id AND r.source_symbol_name = nm.name AND r.kind = 'calls'
         UNION ALL SELECT task_id, source_file, 6.0 * times, times FROM nm JOIN te ON te.repo_id = nm.repo_id AND te.name = nm.name
         UNION ALL SELECT DISTINCT task_id, relative_path, 8.0, 1 FROM budgets JOIN dirty USING (repo_id))
-    SELECT task_id, file, sum(score)::DOUBLE AS score, CAST(sum(times) AS BIGINT) AS n_reasons FROM sig GROUP BY 1, 2""",
-)
+  SELECT task_id, file, sum(score)::DOUBLE AS score, CAST(sum(times) AS BIGINT) AS n_reasons FROM sig GROUP BY 1, 2"""
+
+
+@R.query("context_file_scores", _FILE_SCORES)
 def context_file_scores(spark, folder):
     """The score of every file for every task, and how many reasons it has, by all signals but the text search and the claims."""
     scores = context.file_scores(_context(spark, folder, materialize)[3])
