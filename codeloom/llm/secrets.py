@@ -416,7 +416,7 @@ def redact(text: str, found: list[Find] | None = None) -> str:
 
 
 FOUND = "repo_id string, relative_path string, line_number bigint, kind string"
-CLEAN = "repo_id string, relative_path string, content string, n_secrets int"
+CLEAN = "repo_id string, relative_path string, content string, n_secrets int, n_left int"
 
 
 def _find_batches(batches):
@@ -439,9 +439,11 @@ def _clean_batches(batches):
         rows: list[list] = [[] for _ in names]
         for repo, path, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             found = finds(text) if text else []
-            for c, v in zip(rows, (repo, path, redact(text, found) if text else text, len(found)), strict=True):
+            clean = redact(text, found) if found else text
+            # what nothing was found in needs no second look
+            for c, v in zip(rows, (repo, path, clean, len(found), len(finds(clean)) if found else 0), strict=True):
                 c.append(v)
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int32()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names)
 
 
@@ -451,7 +453,7 @@ def locate(content: DataFrame) -> DataFrame:
 
 
 def cleaned(content: DataFrame) -> DataFrame:
-    """Every row of the table with its credentials overwritten, and how many there were."""
+    """Every row of the table with its credentials overwritten, how many there were, and how many a second search still finds."""
     return content.select("repo_id", "relative_path", "content").mapInArrow(_clean_batches, CLEAN)
 
 
