@@ -29,11 +29,12 @@ _NOT_CALLS = set(
 )
 #: Calls that are tests, by language.
 _RUNNERS = {"javascript": {"test", "it", "describe"}, "typescript": {"test", "group"}, "dart": {"test", "group"}, "go": {"test", "group"}, "cpp": {"test", "group"}}
-#: Calls that say nothing about what a test is for.
-_HELPERS = set(
-    "assert assert_eq assert_ne assert_matches debug_assert debug_assert_eq unwrap expect panic todo unimplemented dbg println print eprintln format write"
-    " writeln vec Some None Ok Err clone to_string to_owned new default String matches pytest raises".split()
-)
+# Calls that say nothing about what a test is for.
+_HELPERS = {
+    "assert", "assert_eq", "assert_ne", "assert_matches", "debug_assert", "debug_assert_eq", "unwrap", "expect", "panic",
+    "todo", "unimplemented", "dbg", "println", "print", "eprintln", "format", "write", "writeln", "vec", "Some", "None",
+    "Ok", "Err", "clone", "to_string", "to_owned", "new", "default", "String", "matches", "pytest", "raises",
+}
 #: Languages in which every kind of symbol is the source of what stands in it.
 _NESTED = {"typescript", "go", "cpp", "dart"}
 

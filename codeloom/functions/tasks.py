@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that are no keywords, and signs that separate words.
-STOP_WORDS = (
-    "a an the and or but if then else when at by for with about against between into through during before after above below"
-    " to from up down in out on off over under again further once here there all any both each few more most other some such"
-    " no nor not only own same so than too very can will just should now fix update implement add make create modify bug issue"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "and", "or", "but", "if", "then", "else", "when", "at", "by", "for", "with", "about", "against",
+    "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out",
+    "on", "off", "over", "under", "again", "further", "once", "here", "there", "all", "any", "both", "each", "few", "more",
+    "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "can", "will",
+    "just", "should", "now", "fix", "update", "implement", "add", "make", "create", "modify", "bug", "issue",
+]
 SEPARATORS = "/\\:;,.()[]{}\"'`"
 
 
